@@ -90,6 +90,33 @@ SELECT page_id, n.host, n.path, rule, coalesce(verdict, CASE WHEN handed.node IS
 FROM n LEFT JOIN fits USING (host, path) LEFT JOIN handed USING (node)
 """
 
+OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  FROM w
+), c AS (
+  SELECT list_sort(sh) AS sh, min(doc_id) AS rep FROM g WHERE len(sh) > 0 GROUP BY list_sort(sh)
+), e AS (
+  SELECT rep, len(sh) AS n, unnest(sh) AS s FROM c
+), f AS (
+  SELECT * FROM e WHERE s IN (SELECT s FROM e GROUP BY s HAVING count(*) > 1)
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM f a JOIN f b ON a.s = b.s AND a.rep < b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT rep, rep FROM c UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+), comp AS (
+  SELECT a AS rep, min(b) AS component FROM reach GROUP BY a
+)
+SELECT g.doc_id, len(g.sh)::BIGINT AS n_shingles, coalesce(component, g.doc_id) AS component_id
+FROM g LEFT JOIN c ON list_sort(g.sh) = c.sh AND len(g.sh) > 0 LEFT JOIN comp ON c.rep = comp.rep
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op10_url_filter": OP10}
+    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op6_ngram_join": OP6, "op10_url_filter": OP10}

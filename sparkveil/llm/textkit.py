@@ -116,38 +116,24 @@ def word_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each shingle of k words; a row of fewer words, but at least one, has its whole sequence as one."""
+def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first word and number of words of each shingle of k words; a row of fewer words, but at least one, has its whole sequence as one."""
     count = np.bincount(row, minlength=n_rows)
-    if not len(h):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    out_h, out_row = [], []
-    acc = h.copy()
+    first = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
+    out = []
+    acc = h
     for length in range(1, k + 1):
+        if len(h) < length:
+            break
         if length > 1:
-            acc = mix(acc[: len(h) - length + 1]) * U(31) + h[length - 1 :] if len(h) >= length else np.zeros(0, U)
+            acc = mix(acc[: len(h) - length + 1]) * U(31) + h[length - 1 :]
         if length < k:
             rows = np.flatnonzero(count == length)
             at = first[rows]
         else:
-            at = np.flatnonzero(row[: len(h) - k + 1] == row[k - 1 :]) if len(h) >= k else np.zeros(0, np.int64)
+            at = np.flatnonzero(row[: len(h) - k + 1] == row[k - 1 :])
             rows = row[at]
-        if len(at):
-            out_h.append(mix(acc[at] + U(length * 0x51ED27)))
-            out_row.append(rows)
-    if not out_h:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(out_h), np.concatenate(out_row)
-
-
-SET_BITS = 48
-
-
-def sets(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 48-bit hashes of each row, sorted by row and hash; rows are under 65,536."""
-    key = (row.astype(U) << U(SET_BITS)) | (h >> U(64 - SET_BITS))
-    key.sort()
-    if len(key):
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    return key & U((1 << SET_BITS) - 1), (key >> U(SET_BITS)).astype(np.int64)
+        out.append((mix(acc[at] + U(length * 0x51ED27)), rows, at, np.full(len(at), length)))
+    if not out:
+        return np.zeros(0, U), *(np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
