@@ -34,6 +34,17 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN source_size > 0 THEN (floor(u + target / source_size * k) - floor(u + target / source_size * (k - 1)))::BIGINT * size ELSE 0 END AS taken
 FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
+OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
 
 OP10 = r"""
 WITH RECURSIVE p AS (
@@ -119,4 +130,4 @@ FROM g LEFT JOIN c ON list_sort(g.sh) = c.sh AND len(g.sh) > 0 LEFT JOIN comp ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op6_ngram_join": OP6, "op10_url_filter": OP10}
+    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op6_ngram_join": OP6, "op7_top_k": OP7, "op10_url_filter": OP10}

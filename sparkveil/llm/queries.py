@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, importance, language_id, mixing, ngram_join, sentence_sampling, url_filter
+from . import chat, exact_dedup, importance, language_id, mixing, ngram_join, sentence_sampling, topk, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    return topk.top_k(rows, rows.where("id % 50 = 0"), 5)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(_read(spark, sf_dir, "conversations"))
 
