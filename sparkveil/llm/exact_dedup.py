@@ -114,3 +114,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"),
         F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 25) -> DataFrame:
+    """``docs`` with one row of each group of equal texts: the row with the largest id, one of them if that id repeats.
+
+    Nulls, empty texts and empty tables as in :func:`exact_dedup`. All columns are kept; rows that the filter clears
+    are neither shuffled nor compared.
+    """
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may have any name
+    id_, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    marked = maybe_repeated(own.withColumn("key", F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))), "key", bits)
+    single = marked.where("not maybe").select(own.columns)
+    rows = marked.where("maybe").select(*own.columns, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
+    rows = scratch.table(rows, "exact-dedup-rows")
+    groups = scratch.table(rows.groupBy("sha").agg(F.max(id_).alias("keep_id")), "exact-dedup-groups")
+    last = rows.join(groups, "sha").where(F.col(id_).eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"]).select(own.columns)
+    return single.union(last).toDF(*names)

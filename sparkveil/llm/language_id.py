@@ -127,8 +127,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     """``docs`` with the predicted language and its score, a softmax of the regressions, between 0 and 1.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or the model knows no language. Every byte of
-    a text counts, however long. Equal texts get equal results; an empty table gives an empty result.
+    a text counts, however long. Columns that already have these names are replaced. Equal texts get equal results; an empty table gives an empty result.
     """
+    docs = docs.drop(lang_name, score_name)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

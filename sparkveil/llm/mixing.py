@@ -80,3 +80,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies say, not at all for none.
+
+    Options are those of :func:`mix`. All columns are kept. Rows that share an id are each taken as often as the most
+    often taken of them.
+    """
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    taken = mix(docs, id_col, **options).where("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = scratch.table(taken, "mix-copies")
+    rows = own.join(taken, F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_id")))
+    return rows.select(*own.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("col").toDF(*names)

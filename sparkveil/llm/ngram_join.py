@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 
@@ -183,6 +184,16 @@ def _or_bits(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> It
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["segment", "bits"])
 
 
+def _id_bits(ids: DataFrame, bits: int) -> bytes:
+    """Bit map that every id in any column hits: 2**bits / 8 bytes whatever the data."""
+    seen = ids.mapInArrow(_wanted_bits(bits), "segment int, bits binary").groupBy("segment").applyInArrow(_or_bits, "segment int, bits binary")
+    size = (1 << bits) // SEGMENTS // 8
+    out = bytearray(size * SEGMENTS)
+    for segment, x in seen.collect():
+        out[segment * size : (segment + 1) * size] = x
+    return bytes(out)
+
+
 def _verify(num: int, den: int):
     def hashes(x):
         out = np.zeros((len(x) // 6, 8), np.uint8)
@@ -214,12 +225,7 @@ def _links(pairs: DataFrame, profile: DataFrame, docs: DataFrame, id_col: str, t
     need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
     near = pairs.join(left, "a").join(right, "b").where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
     near = scratch.table(near, "ngram-near")
-    seen = near.mapInArrow(_wanted_bits(bits), "segment int, bits binary").groupBy("segment").applyInArrow(_or_bits, "segment int, bits binary")
-    size = (1 << bits) // SEGMENTS // 8
-    wanted = bytearray(size * SEGMENTS)
-    for segment, x in seen.collect():
-        wanted[segment * size : (segment + 1) * size] = x
-    wanted = spark.sparkContext.broadcast(bytes(wanted))
+    wanted = spark.sparkContext.broadcast(_id_bits(near, bits))
     sets = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_whole_sets(id_col, text_col, k, wanted, bits), "id long, hashes binary")
     sets = scratch.table(sets, "ngram-sets")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
@@ -276,3 +282,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     member = profile.select("id", "n", "s1", "s2").join(classes.withColumnRenamed("rep", "vertex"), ["s1", "s2", "n"], "left")
     out = member.select("id", "n", F.when(F.col("n") > 0, F.col("vertex")).alias("vertex")).join(label, "vertex", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "vertex", "id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bits: int = 25) -> DataFrame:
+    """``docs`` with one document of each component of :func:`ngram_components`: that with the smallest id.
+
+    All columns are kept. Rows that share an id are one document and stay or go together; rows with a null id or
+    without words stay. Rows whose id misses the bit map of dropped ids pass straight through, the others are joined.
+    """
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_ = f"c{names.index(id_col)}"
+    found = ngram_components(docs.select(id_col, text_col), id_col, text_col, k, num, den)
+    gone = scratch.table(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("id")).distinct(), "ngram-gone")
+    hit = docs.sparkSession.sparkContext.broadcast(_id_bits(gone, bits))
+
+    def mark(batches):
+        from .textkit import U, mix
+
+        seen = np.unpackbits(np.frombuffer(hit.value, np.uint8)).view(bool)
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(id_)).cast(pa.int64())
+            maybe = seen[(mix(ids.fill_null(0).to_numpy().view(U)) >> U(64 - bits)).astype(np.int64)] & np.asarray(ids.is_valid())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*batch.schema.names, "maybe"])
+
+    marked = own.mapInArrow(mark, T.StructType([*own.schema.fields, T.StructField("maybe", T.BooleanType())]))
+    rest = marked.where("maybe").join(gone, F.col(id_) == F.col("id"), "left_anti")
+    return marked.where("not maybe").union(rest).drop("maybe").toDF(*names)
