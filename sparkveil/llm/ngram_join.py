@@ -264,16 +264,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = _links(first, profile, docs, id_col, text_col, k, num, den, bits)
     label = scratch.table(scratch.components(links), "ngram-labels")
     # Round two: members of a list in different components.
+    # Parities over 256 cells, folded from the 1,024, come along so that the join itself applies the suffix filter.
+    folded = [(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i + 4}")).bitwiseXOR(F.col(f"p{i + 8}")).bitwiseXOR(F.col(f"p{i + 12}"))).alias(f"q{i}") for i in range(4)]
     named = live.join(label.withColumnRenamed("vertex", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("label"))
     named = scratch.table(named, "ngram-named")
     open_ = scratch.table(named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token"), "ngram-open")
-    rest = scratch.table(named.join(open_, "token", "left_semi"), "ngram-rest")
+    rest = named.join(open_, "token", "left_semi").join(profile.select("id", *folded).dropDuplicates(["id"]), "id")
+    rest = scratch.table(rest, "ngram-rest")
     scratch.drop(live, named, open_)
     a, b = rest.alias("a"), rest.alias("b")
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     need = F.ceil(F.lit(num) * (F.col("a.n") + F.col("b.n")) / F.lit(num + den))
     most = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & (low * den >= high * num) & (most >= need)
+    apart = sum((F.bit_count(F.col(f"a.q{i}").bitwiseXOR(F.col(f"b.q{i}"))) for i in range(4)), F.lit(0))
+    on = on & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
     second = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _links(scratch.table(second, "ngram-second"), profile, docs, id_col, text_col, k, num, den, bits)
     if not more.isEmpty():
