@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 ALPHA = 0.5
 SAMPLES = 2
 SEED = 20_251
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 BYTE_ZERO = 3
 MASK = (1 << 64) - 1
 #: exp of -37 is under the least positive value of a 53-bit draw, with a margin.
@@ -68,15 +68,15 @@ class Vocabulary:
             raise ValueError("two pieces share a hash")
         self.weights = -alpha * np.log(self.ids - first + 1.0)
         self.lengths = sorted(set(lengths.tolist()))
-        # Longest piece that begins with two given bytes; a piece of one byte is its own case.
-        self.longest = np.zeros(1 << 16, np.uint8)
-        self.single = np.zeros(256, bool)
+        # Lengths that pieces have, by their first bytes: a bit for each, for three bytes by a hash of them.
+        self.one, self.two, self.more = np.zeros(256, bool), np.zeros(1 << 16, bool), np.zeros(1 << 16, np.uint64)
         for t in text:
             if len(t) == 1:
-                self.single[t[0]] = True
+                self.one[t[0]] = True
+            elif len(t) == 2:
+                self.two[t[0] << 8 | t[1]] = True
             else:
-                at = t[0] << 8 | t[1]
-                self.longest[at] = max(self.longest[at], len(t))
+                self.more[self.prefix_slot(*np.frombuffer(t[:3], np.uint8).astype(np.uint32))] |= np.uint64(1 << len(t))
         # Open addressing on the low bits of the hash.
         self.mask = (1 << 18) - 1
         self.slots = np.full(self.mask + 1, -1, np.int32)
@@ -88,24 +88,36 @@ class Vocabulary:
             self.slots[at] = i
             self.probes = max(self.probes, tries)
 
+    @staticmethod
+    def prefix_slot(a, b, c):
+        return ((a << np.uint32(16) | b << np.uint32(8) | c) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
     def prefix_sums(self, block):
         from .textkit import U
 
         up, _ = self.powers.to(len(block) + 1)
         vals = (block.astype(U) + U(1)) * up[: len(block)]
-        return np.concatenate((np.zeros(1, U), np.cumsum(vals, dtype=U)))
+        out = np.zeros(len(block) + 1, U)
+        np.cumsum(vals, out=out[1:])
+        return out
 
     def span_hashes(self, sums, starts, lengths):
-        from .textkit import U, mix
+        from .textkit import U
 
         _, down = self.powers.to(len(sums))
-        return mix((sums[starts + lengths] - sums[starts]) * down[starts] + np.asarray(lengths).astype(U) * U(0xD6E8FEB86659FD93))
+        h = sums[starts + lengths]
+        h -= sums[starts]
+        h *= down[starts]
+        h += np.asarray(lengths).astype(U) * U(0xD6E8FEB86659FD93)
+        h *= U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+        return h
 
     def find(self, h):
         """Index into ids and weights of each hash, or -1."""
         at = (h >> np.uint64(40)).astype(np.int64) & self.mask
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
+        out = np.full(len(h), -1, np.int32)
+        todo = np.arange(len(h), dtype=np.int32)
         for _ in range(self.probes):
             got = self.slots[at[todo]]
             hit = (got >= 0) & (self.hashes[np.maximum(got, 0)] == h[todo])
@@ -129,8 +141,11 @@ class Lattice:
         inner = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         pos, node, left = starts[word] + inner, base[word] + inner, lengths[word] - inner
         first = block[pos]
-        nxt = np.where(left > 1, block[np.minimum(pos + 1, len(block) - 1)], 0)
-        reach = np.minimum(vocab.longest[first.astype(np.int64) << 8 | nxt], left)
+        wide = np.concatenate((block, np.zeros(2, np.uint8)))
+        second, third = wide[pos + 1].astype(np.uint32), wide[pos + 2].astype(np.uint32)
+        lead_byte = first.astype(np.uint32)
+        more = np.where(left > 2, vocab.more[vocab.prefix_slot(lead_byte, second, third)], np.uint64(0))
+        two = (left > 1) & vocab.two[lead_byte << np.uint32(8) | second]
         begins = (first & 0xC0) != 0x80
         src, dst, pid, wgt = [], [], [], []
         # Bytes stand in for characters that are no piece; every byte of such a character is an edge.
@@ -138,10 +153,10 @@ class Lattice:
         char_len = np.minimum(char_len, left)
         known = np.zeros(total, bool)
         for n in vocab.lengths:
-            at = np.flatnonzero(begins & (vocab.single[first] if n == 1 else reach >= n))
+            at = np.flatnonzero(begins & (vocab.one[first] if n == 1 else two if n == 2 else (left >= n) & (more >> np.uint64(n) & np.uint64(1)).astype(bool)))
             if not len(at):
                 continue
-            got = vocab.find(vocab.span_hashes(sums, pos[at], np.full(len(at), n)))
+            got = vocab.find(vocab.span_hashes(sums, pos[at], n))
             at, got = at[got >= 0], got[got >= 0]
             known[at[char_len[at] == n]] = True
             src.append(node[at])
@@ -167,7 +182,7 @@ class Lattice:
         new = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1]))) if len(src) else np.zeros(0, np.int64)
         size = np.diff(np.append(new, len(src)))
         heads = src[new]
-        self.first, self.degree = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+        self.first, self.degree = np.zeros(nodes, np.int32), np.zeros(nodes, np.int32)
         self.first[heads], self.degree[heads] = new, size
         # Backward log sums, level by level; every node of an edge has a way to the end.
         back = np.zeros(nodes)
@@ -181,7 +196,7 @@ class Lattice:
             top = np.maximum.reduceat(v, at)
             v -= np.repeat(top, size[i:j])
             back[heads[i:j]] = top + np.log(np.add.reduceat(np.exp(v), at))
-        self.dst, self.pid = dst, pid.astype(np.int32)
+        self.dst, self.pid = dst.astype(np.int32), pid.astype(np.int32)
         self.logp = wgt + back[dst] - back[src]
         whole = np.cumsum(np.exp(self.logp))
         self.upto = whole - np.repeat(np.concatenate(([0.0], whole))[new], size)
@@ -258,6 +273,7 @@ def sample_block(vocab: Vocabulary, keys: np.ndarray, offsets: np.ndarray, block
 
     results = [[] for _ in range(n)]
     held = [[] for _ in range(n)]  # siblings: (perturbed, log prob of prefix, path, index in path, edge)
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int64))
     empty = np.flatnonzero(row_first[1:] == row_first[:-1])
     todo = np.flatnonzero(row_first[1:] > row_first[:-1])
     for r in empty.tolist():
@@ -276,12 +292,11 @@ def sample_block(vocab: Vocabulary, keys: np.ndarray, offsets: np.ndarray, block
                     continue
                 best = max(held[r], key=lambda x: x[0])
                 held[r].remove(best)
-                g, lp, path, at, e = best
-                edges, chunk_at = path
-                c = int(chunk_at[at])
+                g, lp, (head, tail, tail_chunk), at, e = best
+                c = int(tail_chunk[at])
                 rows.append(r)
                 popped[r] = (g, lp, c)
-                prefix[r] = (np.append(edges[:at], e), np.append(chunk_at[:at], c))
+                prefix[r] = (np.concatenate((head[0], tail[:at], [e])), np.concatenate((head[1], tail_chunk[:at], [c])))
                 first_node = int(lat.dst[e])
                 own = np.arange(c, row_first[r + 1])
                 nodes = root[own].copy()
@@ -297,60 +312,62 @@ def sample_block(vocab: Vocabulary, keys: np.ndarray, offsets: np.ndarray, block
         for i, _ in steps:
             count[i] += 1
         offset = np.cumsum(count) - count
-        edges = np.empty(int(count.sum()), np.int64)
+        edges = np.empty(int(count.sum()), np.int32)
         for s, (i, e) in enumerate(steps):
             edges[offset[i] + s] = e
         del steps
         chunk_at = np.repeat(chunk_ids, count)
+        logp, pids = lat.logp[edges], lat.pid[edges]
         cut = np.searchsorted(row[chunk_ids], rows)
         cut = np.append(np.append(offset, len(edges))[cut], len(edges))
+        tails = np.concatenate(([0.0], np.cumsum(logp)))
+        tails = tails[cut[1:]] - tails[cut[:-1]]
+        gumbel = -np.log(-np.log(_uniform(seed)))
         for j, r in enumerate(rows.tolist()):
-            own, own_chunk = edges[cut[j] : cut[j + 1]], chunk_at[cut[j] : cut[j + 1]]
-            start_lp, done = 0.0, 0
+            lo, hi = int(cut[j]), int(cut[j + 1])
+            ids, base, g = pids[lo:hi], 0.0, float(gumbel[r])
+            head = none
             if sample:
-                g, start_lp, _ = popped[r]
-                own, own_chunk = np.concatenate((prefix[r][0], own)), np.concatenate((prefix[r][1], own_chunk))
-                done = len(prefix[r][0])
-            else:
-                g = float(-np.log(-np.log(_uniform(seed[r : r + 1])))[0])
-            logp = lat.logp[own]
-            past = np.concatenate(([0.0], np.cumsum(logp)))
-            results[r].append((lat.pid[own], float(past[-1]), g, None))
-            # Siblings passed on the way that could still be among the k + 1 best.
-            held_now = sorted((x[0] for x in held[r]), reverse=True)
+                g, base, _ = popped[r]
+                head = prefix[r]
+                ids = np.concatenate((lat.pid[head[0]], ids))
+            done = len(head[0])
+            results[r].append((ids, base + float(tails[j]), g, None))
+            # Siblings passed on the way that could still be among the best that are to come, and the one left out.
             want = k - sample
-            floor = held_now[want - 1] if len(held_now) >= want else -np.inf
-            best = list(held[r])
-            at = done
-            width = 64
-            while at < len(own):
-                to = min(len(own), at + width)
-                nodes_first = np.empty(to - at, np.int64)
-                prev = lat.dst[own[at - 1]] if at > done else None
-                starts_here = np.where(np.concatenate(([True], own_chunk[at + 1 : to] != own_chunk[at : to - 1])), root[own_chunk[at:to]], np.concatenate(([0], lat.dst[own[at : to - 1]])))
-                if at > done and own_chunk[at] == own_chunk[at - 1]:
-                    starts_here[0] = prev
-                elif at == done and sample and at > 0 and own_chunk[at] == own_chunk[at - 1]:
-                    starts_here[0] = lat.dst[own[at - 1]]
-                nodes_first = starts_here
-                degree = lat.degree[nodes_first]
+            best = sorted(held[r], key=lambda x: -x[0])[:want]
+            floor = best[-1][0] if len(best) == want else -np.inf
+            path = (head, edges[lo:hi], chunk_at[lo:hi])
+            at, width, past0 = 0, 48, base
+            while at < hi - lo:
+                to = min(hi - lo, at + width)
+                own, on = path[1][at:to], path[2][at:to]
+                past = past0 + np.concatenate(([0.0], np.cumsum(logp[lo + at : lo + to])))
+                node = root[on]
+                node[1:] = np.where(on[1:] == on[:-1], lat.dst[own[:-1]], node[1:])
+                if at and path[2][at - 1] == on[0]:
+                    node[0] = lat.dst[path[1][at - 1]]
+                elif not at and done and head[1][-1] == on[0]:
+                    node[0] = lat.dst[head[0][-1]]
+                degree = lat.degree[node]
                 which = np.repeat(np.arange(to - at), degree)
-                cand = np.arange(int(degree.sum())) - np.repeat(np.cumsum(degree) - degree, degree) + lat.first[nodes_first][which]
-                keep = cand != own[at:to][which]
+                cand = np.arange(len(which)) - np.repeat(np.cumsum(degree) - degree - lat.first[node], degree)
+                keep = cand != own[which]
                 which, cand = which[keep], cand[keep]
-                phi = past[at:to][which] + lat.logp[cand]
-                noise = -np.log(_uniform(mix(U(int(seed[r]) + (sample + 1) * 0xD6E8FEB86659FD93 & MASK) + (which + at).astype(U) * U(0x94D049BB133111EB)) + cand.astype(U) * U(0x2545F4914F6CDD1D)))
+                phi = past[which] + lat.logp[cand]
+                key = U(int(seed[r]) + (sample + 1) * 0xD6E8FEB86659FD93 & MASK)
+                noise = -np.log(_uniform(mix(key + (which + (at + done)).astype(U) * U(0x94D049BB133111EB)) + cand.astype(U) * U(0x2545F4914F6CDD1D)))
                 value = -np.logaddexp(-g, np.log(noise) - phi)
                 good = np.flatnonzero(value > floor)
-                if len(good) > want:
+                if len(good):
                     good = good[np.argsort(-value[good], kind="stable")[:want]]
-                best.extend((float(value[x]), float(phi[x]), (own, own_chunk), int(which[x]) + at, int(cand[x])) for x in good.tolist())
-                best.sort(key=lambda x: -x[0])
-                best = best[:want]
-                if len(best) == want:
-                    floor = best[-1][0]
-                    if past[to] + REACH < floor:
-                        break
+                    best += [(float(value[x]), float(phi[x]), path, int(which[x]) + at, int(cand[x])) for x in good.tolist()]
+                    best.sort(key=lambda x: -x[0])
+                    best = best[:want]
+                    floor = best[-1][0] if len(best) == want else -np.inf
+                past0 = float(past[-1])
+                if past0 + REACH < floor:
+                    break
                 at, width = to, width * 2
             held[r] = best
     for r in range(n):
