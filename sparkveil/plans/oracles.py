@@ -99,9 +99,13 @@ WHERE v <> '' AND {check('v')}"""
 
 def _emails(source: str) -> str:
     left = r"[^\p{L}\p{N}_!#$%&''*+\-/=?^`{|}~.]"
+    whole = f"(^|{left})({ADDRESS})($|[^\\p{{L}}\\p{{N}}_-])"
     return f"""
-SELECT id, 'EMAIL' AS type, strpos(text, v) - 1 AS span_start, strpos(text, v) - 1 + length(v) AS span_end, v AS value, {norm('v')} AS normalized_value
-FROM (SELECT id, text, unnest(regexp_extract_all(text, '(^|{left})({ADDRESS})($|[^\\p{{L}}\\p{{N}}_-])', 2)) AS v FROM ({source}) WHERE strpos(text, '@') > 0)
+SELECT id, 'EMAIL' AS type, s AS span_start, s + length(v) AS span_end, v AS value, {norm('v')} AS normalized_value
+FROM (SELECT id, v, CAST(sum(length(gap) + length(run)) OVER (PARTITION BY id ORDER BY i) - length(run) + length(before) AS BIGINT) AS s
+      FROM (SELECT id, unnest(regexp_extract_all(text, '{whole}')) AS run, unnest(regexp_extract_all(text, '{whole}', 1)) AS before, unnest(regexp_extract_all(text, '{whole}', 2)) AS v,
+                   unnest(string_split_regex(text, '{whole}')[1:len(regexp_extract_all(text, '{whole}'))]) AS gap, generate_subscripts(regexp_extract_all(text, '{whole}'), 1) AS i
+            FROM ({source}) WHERE strpos(text, '@') > 0))
 WHERE {ok_email('v')}"""
 
 
