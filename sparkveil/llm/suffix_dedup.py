@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .textkit import Powers, U, blocks, mix
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
+#: Hash arrays are eight times as large as the text, so they are made for so many bytes at a time.
+PIECE_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 15
 #: Runs with more start positions, and least hashes with more contexts, are taken apart into single strings, so
 #: that no group of strings that meet grows with how common a gram is.
@@ -44,8 +47,6 @@ def _chunks(id_col, text_col):
     def run(batches):
         from pyspark import TaskContext
 
-        from .textkit import blocks
-
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
@@ -62,8 +63,6 @@ def _chunks(id_col, text_col):
 
 def _runs(offsets, block, powers, length, first_row=0):
     """Runs of start positions that share a least hash: row, first and last position, least hash, context hash."""
-    from .textkit import U, mix
-
     n = len(block)
     gram = min(GRAM, length)
     if n < length:
@@ -96,8 +95,6 @@ def _runs(offsets, block, powers, length, first_row=0):
 
 
 def _sums(block, powers):
-    from .textkit import U
-
     up, _ = powers.to(len(block) + 1)
     out = np.empty(len(block) + 1, U)
     out[0] = 0
@@ -107,12 +104,22 @@ def _sums(block, powers):
 
 def _strings(sums, at, length, powers):
     """Hash of the string of ``length`` bytes at each position."""
-    from .textkit import U, mix
-
     _, down = powers.to(len(sums))
     return mix((sums[at + length] - sums[at]) * down[at] + U(0x2545F4914F6CDD1D))
 
 
+def _strings_at(block, at, length, powers):
+    """:func:`_strings` for positions of a large block, piece by piece."""
+    out = np.empty(len(at), np.uint64)
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(0, len(block) + PIECE_BYTES, PIECE_BYTES))
+    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if a < b:
+            lo = i * PIECE_BYTES
+            out[order[a:b]] = _strings(_sums(block[lo : lo + PIECE_BYTES + length], powers), at[order[a:b]] - lo, length, powers)
+    return out
+
+
 class _Chunk:
     """A chunk's runs in order of least hash, context and id, with the distinct ones numbered."""
 
@@ -123,7 +130,7 @@ class _Chunk:
         self.block = np.frombuffer(row["text"], np.uint8)
         parts, i, n = [], 0, len(self.ids)
         while i < n:  # a piece at a time: the hash arrays are eight times its size
-            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + (1 << 20), "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + PIECE_BYTES, "right")) - 1)
             lo, hi = self.offsets[i], self.offsets[j]
             r, a, b, m, c = _runs(self.offsets[i : j + 1] - lo, self.block[lo:hi], powers, length, i)
             parts.append((r, a + lo, b + lo, m, c))
@@ -178,8 +185,6 @@ def _rows(batch):
 
 def _tell_least(length, buckets):
     def run(batches):
-        from .textkit import Powers
-
         powers = Powers()
         for batch in batches:
             for row in _rows(batch):
@@ -218,8 +223,6 @@ def _meet_least(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) ->
 
 def _tell_contexts(length, buckets):
     def run(batches):
-        from .textkit import Powers
-
         powers = Powers()
         for batch in batches:
             for row in _rows(batch):
@@ -278,8 +281,6 @@ def _decided(row, powers, length, buckets):
 
 def _tell_strings(length, buckets):
     def run(batches):
-        from .textkit import Powers
-
         powers = Powers()
         for batch in batches:
             for row in _rows(batch):
@@ -292,11 +293,10 @@ def _tell_strings(length, buckets):
                 rows = at[single]
                 if len(rows):
                     # Each distinct string once, for the least id that has it.
-                    sums = _sums(c.block, powers)
                     count = c.b[rows] - c.a[rows] + 1
                     pos = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(c.a[rows], count)
                     whose = np.repeat(c.ids[c.row[rows]], count)
-                    h = _strings(sums, pos, length, powers)
+                    h = _strings_at(c.block, pos, length, powers)
                     order = np.lexsort((whose, h))
                     order = order[np.concatenate(([True], h[order][1:] != h[order][:-1]))]
                     start, stop, key, own = np.concatenate((start, pos[order])), np.concatenate((stop, pos[order] + length)), np.concatenate((key, h[order])), np.concatenate((own, whose[order]))
@@ -393,8 +393,6 @@ class Suffixes:
 
 def _meet_strings(length):
     def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .textkit import Powers
-
         powers, chunk, size, doc, text = Powers(), [], [], [], []
         for batch in groups:
             for row in _rows(batch):
@@ -427,8 +425,6 @@ def _meet_strings(length):
 
 def _remove(length, buckets, texts):
     def run(batches):
-        from .textkit import Powers
-
         powers = Powers()
         for batch in batches:
             for row in _rows(batch):
@@ -439,11 +435,10 @@ def _remove(length, buckets, texts):
                 np.add.at(delta, c.b[whole] + length, -1)
                 open_ = np.flatnonzero((((told & RAGGED) > 0) & ((told & EARLIER) == 0))[c.pair_no])
                 if len(open_) and not whole[open_].all():
-                    sums = _sums(c.block, powers)
                     count = c.b[open_] - c.a[open_] + 1
                     pos = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(c.a[open_], count)
                     own = np.repeat(c.ids[c.row[open_]], count)
-                    mine = _strings(sums, pos, length, powers)
+                    mine = _strings_at(c.block, pos, length, powers)
                     # The least id with a string is in this chunk or among what was told of other chunks.
                     asked = [(mine, own)] + [(np.frombuffer(x["strings"], np.uint64), np.frombuffer(x["least"], np.int64)) for x in row["strings"] or ()]
                     h, least = (np.concatenate(x) for x in zip(*asked, strict=True))
@@ -482,7 +477,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole. An empty table gives an empty result. Contexts are compared by 128 bits of hash, strings byte by byte.
     """
     spark = docs.sparkSession
-    buckets, n = 4 * scratch.partitions(spark), scratch.partitions(spark)
+    buckets = n = scratch.partitions(spark)
     name = f"suffix_chunks_{uuid.uuid4().hex}"
     packed = docs.select(id_col, text_col).mapInArrow(_chunks(id_col, text_col), "chunk long, ids binary, none binary, lengths binary, text binary")
     # Stored by chunk: the passes below join what they are told without an exchange of text.
