@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .textkit import Powers, U, blocks, mix, word_hashes, words
 
 BUCKETS = 1 << 15
 #: Labelled documents that the target model is fitted on, at most.
@@ -28,8 +29,6 @@ SEED = 71
 
 def _grams(offsets, block, powers):
     """Bucket and row of each word and each pair of neighbouring words of a row."""
-    from .textkit import U, mix, word_hashes, words
-
     starts, ends, row = words(offsets, block)
     h = word_hashes(block, starts, ends, powers)
     pair = mix(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:])[row[1:] == row[:-1]] if len(h) > 1 else h[:0]
@@ -39,8 +38,6 @@ def _grams(offsets, block, powers):
 
 def _count(id_col, text_col, target):
     def run(batches):
-        from .textkit import Powers, blocks
-
         powers, raw, good = Powers(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         wanted = target.value
         for batch in batches:
@@ -77,8 +74,6 @@ def log_ratios(docs: DataFrame, good_ids: DataFrame, id_col: str, text_col: str,
 
 def _score(id_col, text_col, ratios, scale, seed):
     def run(batches):
-        from .textkit import Powers, U, blocks, mix
-
         powers, ratio = Powers(), ratios.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkit import blocks
+
 ORDERS = (2, 3, 4)
 CELL_BITS = 14
 #: Labelled texts used for each language, at most; landmarks for each language, at most.
@@ -69,8 +71,6 @@ def _has_letter(offsets: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 def _features(text_col: str):
     def run(batches):
-        from .textkit import blocks
-
         for batch in batches:
             for first, offsets, block in blocks(batch, text_col, 64):
                 bits = np.packbits(_presence(offsets, block), axis=1)
@@ -130,22 +130,21 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     a text counts, however long. Columns that already have these names are replaced. Equal texts get equal results; an empty table gives an empty result.
     """
     docs = docs.drop(lang_name, score_name)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast is pickled by reference, and workers need not have this package.
+    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
 
     def run(batches):
-        from .textkit import blocks
-
-        model = shipped.value
-        names = np.array([*model.languages, "und"], object)
+        languages, weights, bias = shipped.value
+        names = np.array([*languages, "und"], object)
         for batch in batches:
             langs, scores = [], []
             for _, offsets, block in blocks(batch, text_col, 128):
                 n = len(offsets) - 1
-                best, score = np.full(n, len(model.languages)), np.zeros(n)
+                best, score = np.full(n, len(languages)), np.zeros(n)
                 ok = _has_letter(offsets, block)
-                if model.languages and ok.any():
+                if languages and ok.any():
                     x = _presence(offsets, block).astype(np.float32)
-                    f = (x @ model.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + model.bias
+                    f = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + bias
                     e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
                     best = np.where(ok, f.argmax(1), best)
                     score = np.where(ok, (e / e.sum(1, keepdims=True)).max(1), 0.0)
