@@ -26,11 +26,17 @@ QUERY_BLOCK = 512
 DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
 
 
+#: Larger components take no part: sums of products stay exact in double precision up to 512 dimensions.
+LARGEST = 1 << 22
+
+
 def quantised(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as double; null if the vector is null or has a null or non-finite component."""
-    as_double = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
-    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(embedding.isNotNull() & ~bad, F.when(F.exists(embedding, lambda x: F.abs(x.cast("double")) * scale >= 2.0**45), F.raise_error(F.lit("component too large"))).otherwise(as_double))
+    """floor(scale * x) of each component x as double, as longs.
+
+    Null if the vector is null, or has a component that is null, not finite, or over LARGEST once scaled.
+    """
+    fits = F.forall(embedding, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST), F.lit(False)))
+    return F.when(fits, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)))
 
 
 class Lists:
