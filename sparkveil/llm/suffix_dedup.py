@@ -30,7 +30,7 @@ from .textkit import Powers, U, blocks, mix
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Hash arrays are eight times as large as the text, so they are made for so many bytes at a time.
 PIECE_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 15
