@@ -23,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkit import Powers, U, blocks, mix
+
 ALPHA = 0.5
 SAMPLES = 2
 SEED = 20_251
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 BYTE_ZERO = 3
 MASK = (1 << 64) - 1
 #: exp of -37 is under the least positive value of a 53-bit draw, with a margin.
 REACH = 37.5
+#: Places of a path with less log prob before them are looked at only if this bound does not rule them out.
+DEEP = -60.0
 
 
 class Vocabulary:
@@ -39,8 +43,6 @@ class Vocabulary:
     def __init__(self, path: str, alpha: float):
         import sentencepiece
 
-        from .textkit import Powers
-
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces: list[bytes] = []
         usable = []
@@ -68,6 +70,9 @@ class Vocabulary:
             raise ValueError("two pieces share a hash")
         self.weights = -alpha * np.log(self.ids - first + 1.0)
         self.lengths = sorted(set(lengths.tolist()))
+        # What an edge weighs and emits: pieces first, then the 256 bytes.
+        self.edge_weights = np.concatenate((self.weights, np.full(256, self.byte_weight)))
+        self.edge_ids = np.concatenate((self.ids, np.arange(256) + BYTE_ZERO)).astype(np.int32)
         # Lengths that pieces have, by their first bytes: a bit for each, for three bytes by a hash of them.
         self.one, self.two, self.more = np.zeros(256, bool), np.zeros(1 << 16, bool), np.zeros(1 << 16, np.uint64)
         for t in text:
@@ -76,7 +81,7 @@ class Vocabulary:
             elif len(t) == 2:
                 self.two[t[0] << 8 | t[1]] = True
             else:
-                self.more[self.prefix_slot(*np.frombuffer(t[:3], np.uint8).astype(np.uint32))] |= np.uint64(1 << len(t))
+                self.more[self.prefix_slot(*np.frombuffer(t[:3], np.uint8).astype(np.uint32)[:, None])] |= np.uint64(1 << len(t))
         # Open addressing on the low bits of the hash.
         self.mask = (1 << 18) - 1
         self.slots = np.full(self.mask + 1, -1, np.int32)
@@ -93,8 +98,6 @@ class Vocabulary:
         return ((a << np.uint32(16) | b << np.uint32(8) | c) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
     def prefix_sums(self, block):
-        from .textkit import U
-
         up, _ = self.powers.to(len(block) + 1)
         vals = (block.astype(U) + U(1)) * up[: len(block)]
         out = np.zeros(len(block) + 1, U)
@@ -102,8 +105,6 @@ class Vocabulary:
         return out
 
     def span_hashes(self, sums, starts, lengths):
-        from .textkit import U
-
         _, down = self.powers.to(len(sums))
         h = sums[starts + lengths]
         h -= sums[starts]
@@ -137,9 +138,12 @@ class Lattice:
         total = int(lengths.sum())
         base = np.cumsum(lengths + 1) - (lengths + 1)
         self.root, self.end = base, base + lengths
-        word = np.repeat(np.arange(len(starts)), lengths)
-        inner = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        pos, node, left = starts[word] + inner, base[word] + inner, lengths[word] - inner
+        # 32-bit arithmetic: a block is far smaller than that, and the arrays are many.
+        narrow = np.int32 if len(block) < 1 << 30 else np.int64
+        word = np.repeat(np.arange(len(starts), dtype=narrow), lengths)
+        flat = np.arange(total, dtype=narrow)
+        inner = flat - np.repeat((np.cumsum(lengths) - lengths).astype(narrow), lengths)
+        pos, node, left = starts.astype(narrow)[word] + inner, flat + word, lengths.astype(narrow)[word] - inner
         first = block[pos]
         wide = np.concatenate((block, np.zeros(2, np.uint8)))
         second, third = wide[pos + 1].astype(np.uint32), wide[pos + 2].astype(np.uint32)
@@ -147,9 +151,10 @@ class Lattice:
         more = np.where(left > 2, vocab.more[vocab.prefix_slot(lead_byte, second, third)], np.uint64(0))
         two = (left > 1) & vocab.two[lead_byte << np.uint32(8) | second]
         begins = (first & 0xC0) != 0x80
-        src, dst, pid, wgt = [], [], [], []
+        # Edges as start node, length, and index of the piece; bytes have the indices behind the pieces.
+        src, size, piece = [], [], []
         # Bytes stand in for characters that are no piece; every byte of such a character is an edge.
-        char_len = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
+        char_len = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))).astype(np.int32)
         char_len = np.minimum(char_len, left)
         known = np.zeros(total, bool)
         for n in vocab.lengths:
@@ -160,30 +165,32 @@ class Lattice:
             at, got = at[got >= 0], got[got >= 0]
             known[at[char_len[at] == n]] = True
             src.append(node[at])
-            dst.append(node[at] + n)
-            pid.append(vocab.ids[got])
-            wgt.append(vocab.weights[got])
+            size.append(np.full(len(at), n, np.uint8))
+            piece.append(got)
         lead = np.flatnonzero(begins & ~known)
         raw = np.concatenate([lead[char_len[lead] > k] + k for k in range(4)]) if len(lead) else lead
         # Bytes that lead no character (not possible in UTF-8) would leave gaps: they are edges as well.
-        stray = np.flatnonzero(~begins & (inner == 0))
-        raw = np.concatenate((raw, stray))
+        raw = np.concatenate((raw, np.flatnonzero(~begins & (inner == 0))))
         src.append(node[raw])
-        dst.append(node[raw] + 1)
-        pid.append(first[raw].astype(np.int64) + BYTE_ZERO)
-        wgt.append(np.full(len(raw), vocab.byte_weight))
-        src, dst, pid, wgt = (np.concatenate(x) for x in (src, dst, pid, wgt))
+        size.append(np.ones(len(raw), np.uint8))
+        piece.append(len(vocab.ids) + first[raw].astype(np.int32))
+        src, size, piece = (np.concatenate(x) for x in (src, size, piece))
         nodes = total + len(starts)
-        away = np.zeros(nodes, np.int64)
+        away = np.zeros(nodes, np.int32)
         away[node] = left
+        del word, inner, pos, node, left, first, more, two, begins, known, char_len, flat, second, third, lead_byte
         # One order for all: nearest to the word's end first, then by node, long pieces first.
-        order = np.argsort((away[src] << 38) + (src << 6) - (dst - src))
-        src, dst, pid, wgt = src[order], dst[order], pid[order], wgt[order]
+        order = np.argsort((away[src].astype(np.int64) << 38) + (src.astype(np.int64) << 6) - size)
+        src, size, piece = src[order], size[order], piece[order]
+        del order
+        dst = src + size
+        wgt = vocab.edge_weights[piece]
         new = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1]))) if len(src) else np.zeros(0, np.int64)
         size = np.diff(np.append(new, len(src)))
         heads = src[new]
         self.first, self.degree = np.zeros(nodes, np.int32), np.zeros(nodes, np.int32)
         self.first[heads], self.degree[heads] = new, size
+        self.group_node = heads
         # Backward log sums, level by level; every node of an edge has a way to the end.
         back = np.zeros(nodes)
         far = away[heads]
@@ -196,11 +203,16 @@ class Lattice:
             top = np.maximum.reduceat(v, at)
             v -= np.repeat(top, size[i:j])
             back[heads[i:j]] = top + np.log(np.add.reduceat(np.exp(v), at))
-        self.dst, self.pid = dst.astype(np.int32), pid.astype(np.int32)
+        self.dst, self.pid = dst.astype(np.int32), vocab.edge_ids[piece]
         self.logp = wgt + back[dst] - back[src]
         whole = np.cumsum(np.exp(self.logp))
         self.upto = whole - np.repeat(np.concatenate(([0.0], whole))[new], size)
         self.upto[new + size - 1] = 2.0
+        self.heads = new
+
+    def src_of(self, edges: np.ndarray) -> np.ndarray:
+        """Node that each edge leaves."""
+        return self.group_node[np.searchsorted(self.heads, edges, "right") - 1]
 
     def walk(self, node: np.ndarray, stop: np.ndarray, draw):
         """Sample from each start node to its stop: yields (index, edge) step by step; draw(index, step) gives uniforms."""
@@ -213,7 +225,7 @@ class Lattice:
             while len(todo):
                 edge[todo] += 1
                 todo = todo[u[todo] >= self.upto[edge[todo]]]
-            yield live, edge
+            yield live.astype(np.int32), edge
             node = self.dst[edge]
             on = node != stop[live]
             live, node = live[on], node[on]
@@ -222,8 +234,6 @@ class Lattice:
 
 def _uniform(key):
     """Uniforms in (0, 1) from 64-bit keys."""
-    from .textkit import U, mix
-
     return ((mix(key) >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -254,132 +264,131 @@ def sample_block(vocab: Vocabulary, keys: np.ndarray, offsets: np.ndarray, block
 
     A row with fewer than k segmentations gives them all, each with log_inclusion 0.
     """
-    from .textkit import U, mix
-
     n = len(offsets) - 1
     edge_of, text, starts, ends, row = _chunks(offsets, block)
     sums = vocab.prefix_sums(text)
     h = vocab.span_hashes(sums, starts, ends - starts) if len(starts) else np.zeros(0, U)
     _, example, kind = np.unique(h, return_index=True, return_inverse=True)
     lat = Lattice(vocab, text, starts[example], ends[example], sums)
-    del sums, h
+    del sums, h, text
     root, stop = lat.root[kind], lat.end[kind]
-    inner = starts - edge_of[row]
+    inner = (starts - edge_of[row]).astype(U)
     row_first = np.searchsorted(row, np.arange(n + 1))
     seed = mix(keys.view(U) + U(SEED))
+    del kind, starts, ends
 
     def place(chunk, step, sample):
-        return mix(seed[row[chunk]] + U((sample + 1) * 0x9E3779B97F4A7C15 & MASK)) + inner[chunk].astype(U) * U(0xBF58476D1CE4E5B9) + U(step)
-
-    results = [[] for _ in range(n)]
-    held = [[] for _ in range(n)]  # siblings: (perturbed, log prob of prefix, path, index in path, edge)
-    none = (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    empty = np.flatnonzero(row_first[1:] == row_first[:-1])
-    todo = np.flatnonzero(row_first[1:] > row_first[:-1])
-    for r in empty.tolist():
-        results[r].append((np.zeros(0, np.int32), 0.0, 0.0, None))
+        return mix(seed[row[chunk]] + U((sample + 1) * 0x9E3779B97F4A7C15 & MASK)) + inner[chunk] * U(0xBF58476D1CE4E5B9) + U(step)
+
+    results: list[list] = [[] for _ in range(n)]
+    # Open parts of the search, each the siblings passed at one place of a path but for those already taken from it:
+    # (perturbed score of the best of them, log prob before the place, path, place, edges taken).
+    held: list[list] = [[] for _ in range(n)]
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int32))
+    for r in np.flatnonzero(row_first[1:] == row_first[:-1]).tolist():
+        results[r].append((none[0], 0.0, 0.0))
+    rows = np.flatnonzero(row_first[1:] > row_first[:-1])
+    chunk_ids, begin = np.arange(len(root), dtype=np.int32), root
+    heads, base, gumbel = {}, np.zeros(len(rows)), -np.log(-np.log(_uniform(seed[rows])))
     for sample in range(k):
-        # What to walk: whole rows at first, then what is behind the popped sibling.
-        begin_node, chunk_ids, prefix, popped = [], [], {}, {}
-        if sample == 0:
-            rows = todo
-            chunk_ids = np.arange(len(starts))
-            begin_node = root
-        else:
-            rows, parts = [], []
-            for r in todo.tolist():
-                if not held[r]:
-                    continue
-                best = max(held[r], key=lambda x: x[0])
-                held[r].remove(best)
-                g, lp, (head, tail, tail_chunk), at, e = best
-                c = int(tail_chunk[at])
-                rows.append(r)
-                popped[r] = (g, lp, c)
-                prefix[r] = (np.concatenate((head[0], tail[:at], [e])), np.concatenate((head[1], tail_chunk[:at], [c])))
-                first_node = int(lat.dst[e])
-                own = np.arange(c, row_first[r + 1])
-                nodes = root[own].copy()
-                nodes[0] = first_node
-                parts.append((own, nodes))
-            rows = np.array(rows, np.int64)
-            if not len(rows):
+        if sample:
+            picked = [(r, x) for r in rows.tolist() if (x := _pop(lat, held[r], seed[r], sample)) is not None]
+            if not picked:
                 break
-            chunk_ids = np.concatenate([p[0] for p in parts])
-            begin_node = np.concatenate([p[1] for p in parts])
-        steps = list(lat.walk(begin_node, stop[chunk_ids], lambda i, s, c=chunk_ids, j=sample: _uniform(place(c[i], s, j))))
-        count = np.zeros(len(chunk_ids), np.int64)
+            rows = np.array([r for r, _ in picked])
+            heads = {r: x[2] for r, x in picked}
+            gumbel, base = np.array([x[0] for _, x in picked]), np.array([x[1] for _, x in picked])
+            parts = [np.arange(x[2][1][-1], row_first[r + 1], dtype=np.int32) for r, x in picked]
+            chunk_ids = np.concatenate(parts)
+            begin = root[chunk_ids]
+            begin[np.cumsum([0, *(len(p) for p in parts[:-1])])] = [lat.dst[x[2][0][-1]] for _, x in picked]
+        steps = list(lat.walk(begin, stop[chunk_ids], lambda i, s, c=chunk_ids, j=sample: _uniform(place(c[i], s, j))))
+        count = np.zeros(len(chunk_ids), np.int32)
         for i, _ in steps:
             count[i] += 1
-        offset = np.cumsum(count) - count
+        offset = np.cumsum(count, dtype=np.int64) - count
         edges = np.empty(int(count.sum()), np.int32)
         for s, (i, e) in enumerate(steps):
             edges[offset[i] + s] = e
         del steps
         chunk_at = np.repeat(chunk_ids, count)
         logp, pids = lat.logp[edges], lat.pid[edges]
-        cut = np.searchsorted(row[chunk_ids], rows)
-        cut = np.append(np.append(offset, len(edges))[cut], len(edges))
-        tails = np.concatenate(([0.0], np.cumsum(logp)))
-        tails = tails[cut[1:]] - tails[cut[:-1]]
-        gumbel = -np.log(-np.log(_uniform(seed)))
+        cut = np.append(np.append(offset, len(edges))[np.searchsorted(row[chunk_ids], rows)], len(edges))
+        total = np.concatenate(([0.0], np.cumsum(logp)))
+        own = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(cut))
+        past = total[:-1] - (total[cut[:-1]] - base)[own]
+        ends_at = base + total[cut[1:]] - total[cut[:-1]]
+        del total
+        # Best perturbed score among the siblings at each place, truncated at the path's own; the places behind the
+        # least log prob that a draw could lift over what a row holds are left out, row by row.
+        want = k - sample
+        near = np.flatnonzero(past > DEEP)
+        found = _places(lat, edges, chunk_at, logp, past, own, near, root, cut, gumbel, seed[rows], sample)
+        order = np.lexsort((-found[1], own[found[0]]))
+        at, value = found[0][order], found[1][order]
+        first = np.searchsorted(own[at], np.arange(len(rows) + 1))
         for j, r in enumerate(rows.tolist()):
             lo, hi = int(cut[j]), int(cut[j + 1])
-            ids, base, g = pids[lo:hi], 0.0, float(gumbel[r])
-            head = none
-            if sample:
-                g, base, _ = popped[r]
-                head = prefix[r]
-                ids = np.concatenate((lat.pid[head[0]], ids))
-            done = len(head[0])
-            results[r].append((ids, base + float(tails[j]), g, None))
-            # Siblings passed on the way that could still be among the best that are to come, and the one left out.
-            want = k - sample
-            best = sorted(held[r], key=lambda x: -x[0])[:want]
-            floor = best[-1][0] if len(best) == want else -np.inf
+            head = heads.get(r, none)
             path = (head, edges[lo:hi], chunk_at[lo:hi])
-            at, width, past0 = 0, 48, base
-            while at < hi - lo:
-                to = min(hi - lo, at + width)
-                own, on = path[1][at:to], path[2][at:to]
-                past = past0 + np.concatenate(([0.0], np.cumsum(logp[lo + at : lo + to])))
-                node = root[on]
-                node[1:] = np.where(on[1:] == on[:-1], lat.dst[own[:-1]], node[1:])
-                if at and path[2][at - 1] == on[0]:
-                    node[0] = lat.dst[path[1][at - 1]]
-                elif not at and done and head[1][-1] == on[0]:
-                    node[0] = lat.dst[head[0][-1]]
-                degree = lat.degree[node]
-                which = np.repeat(np.arange(to - at), degree)
-                cand = np.arange(len(which)) - np.repeat(np.cumsum(degree) - degree - lat.first[node], degree)
-                keep = cand != own[which]
-                which, cand = which[keep], cand[keep]
-                phi = past[which] + lat.logp[cand]
-                key = U(int(seed[r]) + (sample + 1) * 0xD6E8FEB86659FD93 & MASK)
-                noise = -np.log(_uniform(mix(key + (which + (at + done)).astype(U) * U(0x94D049BB133111EB)) + cand.astype(U) * U(0x2545F4914F6CDD1D)))
-                value = -np.logaddexp(-g, np.log(noise) - phi)
-                good = np.flatnonzero(value > floor)
-                if len(good):
-                    good = good[np.argsort(-value[good], kind="stable")[:want]]
-                    best += [(float(value[x]), float(phi[x]), path, int(which[x]) + at, int(cand[x])) for x in good.tolist()]
-                    best.sort(key=lambda x: -x[0])
-                    best = best[:want]
-                    floor = best[-1][0] if len(best) == want else -np.inf
-                past0 = float(past[-1])
-                if past0 + REACH < floor:
-                    break
-                at, width = to, width * 2
+            ids = np.concatenate((lat.pid[head[0]], pids[lo:hi])) if sample else pids[lo:hi]
+            results[r].append((ids, float(ends_at[j]), float(gumbel[j])))
+            a, b = int(first[j]), int(first[j + 1])
+            new = [(float(value[x]), float(past[at[x]]), path, int(at[x]) - lo, (int(edges[at[x]]),)) for x in range(a, min(b, a + want))]
+            best = sorted(held[r] + new, key=lambda x: -x[0])[:want]
+            floor = best[-1][0] if len(best) == want else -np.inf
+            if hi > lo and past[hi - 1] <= DEEP and DEEP + REACH >= floor:  # hardly ever: look at the rest as well
+                rest = lo + np.flatnonzero(past[lo:hi] <= DEEP)
+                more = _places(lat, edges, chunk_at, logp, past, own, rest, root, cut, gumbel, seed[rows], sample)
+                new = [(float(v), float(past[i]), path, int(i) - lo, (int(edges[i]),)) for i, v in zip(*more, strict=True)]
+                best = sorted(best + new, key=lambda x: -x[0])[:want]
             held[r] = best
     for r in range(n):
         limit = max((x[0] for x in held[r]), default=-np.inf)
-        results[r] = [(ids, lp, g, _log_inclusion(lp - limit)) for ids, lp, g, _ in results[r]]
+        results[r] = [(ids, lp, g, _log_inclusion(lp - limit)) for ids, lp, g in results[r]]
     return results
 
 
+def _places(lat, edges, chunk_at, logp, past, own, at, root, cut, gumbel, seeds, sample):
+    """(places, scores) for those of ``at`` where a path passed siblings."""
+    node = root[chunk_at[at]]
+    same = np.flatnonzero((at > 0) & (chunk_at[np.maximum(at, 1) - 1] == chunk_at[at]) & (own[np.maximum(at, 1) - 1] == own[at]))
+    node[same] = lat.dst[edges[at[same] - 1]]
+    if sample:  # a resumed walk begins within its first word
+        begins = np.flatnonzero(at == cut[own[at]])
+        node[begins] = lat.src_of(edges[at[begins]])
+    some = lat.degree[node] > 1
+    at = at[some]
+    with np.errstate(divide="ignore"):
+        phi = past[at] + np.log(-np.expm1(np.minimum(logp[at], 0.0)))
+    key = mix(seeds[own[at]] + U((sample + 1) * 0xD6E8FEB86659FD93 & MASK)) + (at - cut[own[at]]).astype(U) * U(0x94D049BB133111EB)
+    return at, -np.logaddexp(-gumbel[own[at]], np.log(-np.log(_uniform(key))) - phi)
+
+
+def _pop(lat, held, seed, sample):
+    """Take the best open part: (perturbed score, log prob, prefix of edges and words); what is left of it stays open."""
+    if not held:
+        return None
+    best = max(held, key=lambda x: x[0])
+    held.remove(best)
+    g, before, (head, edges, chunks), at, taken = best
+    node = lat.src_of(edges[at : at + 1])[0]
+    options = np.arange(lat.first[node], lat.first[node] + lat.degree[node])
+    options = options[~np.isin(options, taken)]
+    weight = np.exp(lat.logp[options])
+    key = np.array([int(seed) + (sample + 1) * 0xA24BAED4963EE407 + at * 0x9FB21C651E98DF25 & MASK], U)
+    draw = _uniform(np.concatenate((key, key + U(1))))
+    e = int(options[min(np.searchsorted(np.cumsum(weight), draw[0] * weight.sum(), "right"), len(options) - 1)])
+    rest = float(weight[options != e].sum())
+    if len(options) > 1 and rest > 0:
+        left = -np.logaddexp(-g, np.log(-np.log(draw[1])) - before - np.log(rest))
+        held.append((float(left), before, (head, edges, chunks), at, (*taken, e)))
+    prefix = (np.concatenate((head[0], edges[:at], [e])).astype(np.int32), np.concatenate((head[1], chunks[: at + 1])).astype(np.int32))
+    return g, before + float(lat.logp[e]), prefix
+
+
 def _encoder(id_col, text_col, model_path, k, alpha, digest):
     def run(batches):
-        from .textkit import blocks
-
         vocab = Vocabulary(model_path, alpha)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col))

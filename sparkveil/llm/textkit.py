@@ -33,7 +33,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = 1 << int(n - 1).bit_length()
+            n += n >> 3
             step = np.full(n, BASE, U)
             step[0] = 1
             self.up = np.cumprod(step, dtype=U)
