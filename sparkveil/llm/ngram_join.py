@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
+from .textkit import Powers, U, blocks, mix, shingles, word_hashes, words
 
 CELLS = 1 << 20
 SEGMENTS = 64
@@ -34,8 +35,6 @@ PARITY = 16
 
 def _count_words(text_col: str):
     def run(batches):
-        from .textkit import Powers, U, blocks, word_hashes, words
-
         powers, total = Powers(), np.zeros(CELLS, np.int64)
         for batch in batches:
             for _, offsets, block in blocks(batch, text_col):
@@ -70,8 +69,6 @@ def word_levels(docs: DataFrame, text_col: str) -> bytes:
 
 def _ordered_sets(offsets, block, k, levels, powers):
     """Distinct shingles of each row, rare first: (row, order key of 56 bits), sorted by both."""
-    from .textkit import U, shingles, word_hashes, words
-
     starts, ends, row = words(offsets, block)
     h = word_hashes(block, starts, ends, powers)
     sh, srow, at, length = shingles(h, row, len(offsets) - 1, k)
@@ -91,8 +88,6 @@ def prefix_length(n, num: int, den: int):
 
 def _profile(id_col, text_col, k, num, den, levels):
     def run(batches):
-        from .textkit import Powers, U, blocks, mix
-
         powers, level = Powers(), np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col))
@@ -142,8 +137,6 @@ def _whole_sets(id_col, text_col, k, wanted, bits):
     """Sets of the rows whose id hits the bit map, as sorted 48-bit hashes of six bytes."""
 
     def run(batches):
-        from .textkit import Powers, U, blocks, mix
-
         powers, level, want = Powers(), np.zeros(CELLS, np.uint8), np.unpackbits(np.frombuffer(wanted.value, np.uint8)).view(bool)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
@@ -162,8 +155,6 @@ def _whole_sets(id_col, text_col, k, wanted, bits):
 
 def _wanted_bits(bits: int):
     def run(batches):
-        from .textkit import U, mix
-
         seen = np.zeros(1 << bits, bool)
         for batch in batches:
             for i in range(batch.num_columns):
@@ -303,8 +294,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hit = docs.sparkSession.sparkContext.broadcast(_id_bits(gone, bits))
 
     def mark(batches):
-        from .textkit import U, mix
-
         seen = np.unpackbits(np.frombuffer(hit.value, np.uint8)).view(bool)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_)).cast(pa.int64())
