@@ -430,8 +430,11 @@ def canonical_merge(spark, sf_dir):
     return evaluation.merged_gold(items.distinct(), TAXONOMY).select("doc_id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "type")
 
 
-def _tokens(spark, sf_dir):
-    words = docs(spark, sf_dir).select(F.col("doc_id").alias("sent_id"), F.posexplode(F.split(F.substring("text", 1, 400), " ")).alias("pos", "token"))
+def _tokens(spark, sf_dir, dealt=False):
+    """Tokens of whole texts; with ``dealt`` texts go to their place before they are split, so that no exchange of tokens follows."""
+    texts = docs(spark, sf_dir).withColumnRenamed("doc_id", "sent_id")
+    texts = texts.repartition("sent_id") if dealt else texts
+    words = texts.select("sent_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
     n = F.length("token") % 5
     tag = F.when(n == 1, "B_PER").when(n == 2, "I-Person").when(n == 3, "B-LOC").otherwise("O")
     return words.withColumn("tag", tag)
@@ -445,12 +448,12 @@ def bio_labels(spark, sf_dir):
 
 @query
 def bio_to_spans(spark, sf_dir):
-    return bio.spans_from_tags(_tokens(spark, sf_dir)).select("sent_id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "recovered")
+    return bio.spans_from_tags(_tokens(spark, sf_dir, dealt=True)).select("sent_id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "recovered")
 
 
 @query
 def offset_audit(spark, sf_dir):
-    at = bio.token_offsets(_tokens(spark, sf_dir)).select(F.col("sent_id").alias("doc_id"), "pos", F.when(F.col("pos") == 0, 0).otherwise(F.col("start")).alias("start"), F.when(F.col("pos") == 0, 0).otherwise(F.col("end")).alias("end"), F.lit(300).alias("n_chars"))
+    at = bio.token_offsets(_tokens(spark, sf_dir, dealt=True)).select(F.col("sent_id").alias("doc_id"), "pos", F.when(F.col("pos") == 0, 0).otherwise(F.col("start")).alias("start"), F.when(F.col("pos") == 0, 0).otherwise(F.col("end")).alias("end"), F.lit(300).alias("n_chars"))
     return bio.offset_audit(at)
 
 
