@@ -7,11 +7,13 @@ seen and the upper bound takes the last contribution read. Reading stops when no
 bound can reach the k-th; the scores of the few that may still belong to the result are then resolved from what
 remains of their lists. The sums of a depth are matrix products for all open queries of a block at once.
 
-Components are integers, so all sums are exact in double precision and ties are real ties.
+Components are integers. Where all sums of a query and a block are exact in double precision, they are taken there;
+other queries of the block are scored in integers, whole. So ties are real ties.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +28,26 @@ QUERY_BLOCK = 512
 DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
 
 
-#: Larger components take no part: sums of products stay exact in double precision up to 512 dimensions.
-LARGEST = 1 << 22
+#: Integers up to this are exact as doubles; up to the other, sums stay within a long with room to spare.
+DOUBLE, LONG = 2.0**53, 2.0**62
 
 
-def quantised(embedding: Column, scale: int = 256) -> Column:
+def quantised(embedding: Column, scale: int = 256, strict: bool = False) -> Column:
     """floor(scale * x) of each component x as double, as longs.
 
-    Null if the vector is null, or has a component that is null, not finite, or over LARGEST once scaled.
+    Null if the vector is null, or has a component that is null or not finite. A finite component that no long holds
+    once scaled makes the vector null too, or with ``strict`` raises.
     """
-    fits = F.forall(embedding, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST), F.lit(False)))
-    return F.when(fits, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)))
+    finite = F.forall(embedding, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    fits = F.forall(embedding, lambda x: F.abs(x.cast("double") * scale) < 2.0**63)
+    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
+    over = F.raise_error(F.lit("a component of an embedding is too large for a long")).cast("array<bigint>") if strict else F.lit(None)
+    return F.when(finite, F.when(fits, whole).otherwise(over))
+
+
+def _largest(x: np.ndarray) -> np.ndarray:
+    """The largest absolute component of each row, as a double."""
+    return np.abs(x.astype(np.float64)).max(axis=1, initial=0.0)
 
 
 class Lists:
@@ -84,9 +95,26 @@ class Lists:
                 return
 
 
+def _exact(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
+    """As :meth:`Lists.top`, from longs: in longs where sums fit, else in Python's integers."""
+    size = _largest(x) * x.shape[1]
+    for j, (q, most) in enumerate(zip(queries, _largest(queries), strict=True)):
+        big, at = size * most >= LONG, np.flatnonzero(ids != own[j])
+        score = x @ q
+        if big.any():
+            score = score.astype(object)
+            score[big] = x[big].astype(object) @ q.astype(object)
+            best = np.array(heapq.nsmallest(k, at.tolist(), lambda i: (-score[i], ids[i])), dtype=np.int64)
+            if any(not -(1 << 63) <= score[i] < 1 << 63 for i in best):
+                raise ValueError(f"a score of query {own[j]} is too large for a long")
+        else:
+            best = at[np.lexsort((ids[at], -score[at]))[:k]]
+        yield j, ids[best], score[best].astype(np.int64)
+
+
 def _pack(batch: pa.RecordBatch):
     ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return ids, flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 0)
 
 
@@ -123,13 +151,16 @@ def _search(k: int):
                 if key != (row["block"], row["block_ids"][:64]):
                     key = (row["block"], row["block_ids"][:64])
                     ids = np.frombuffer(row["block_ids"], np.int64)
-                    lists = Lists(ids, np.frombuffer(row["block_x"], np.int64).reshape(len(ids), row["dims"]).astype(np.float64))
+                    x = np.frombuffer(row["block_x"], np.int64).reshape(len(ids), row["dims"])
+                    lists, most = Lists(ids, x.astype(np.float64)), _largest(x).max()
                 own = np.frombuffer(row["queries_ids"], np.int64)
-                q = np.frombuffer(row["queries_x"], np.int64).reshape(len(own), row["dims"]).astype(np.float64)
-                found = [(own[i], a, s) for i, a, s in lists.top(q, own, k)]
+                q = np.frombuffer(row["queries_x"], np.int64).reshape(len(own), row["dims"])
+                fast = _largest(q) * most * row["dims"] <= DOUBLE
+                found = [(own[fast][i], a, s.astype(np.int64)) for i, a, s in lists.top(q[fast].astype(np.float64), own[fast], k)]
+                found += [(own[~fast][i], a, s) for i, a, s in _exact(ids, x, q[~fast], own[~fast], k)]
                 if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]).astype(np.int64))], ["query_id", "vec_id", "score"]
+                        [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"]
                     )
 
     return run
@@ -140,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both inputs are rows (id long, v array<long>); null ids and null vectors take no part, a candidate with the
     query's own id is left out, and only vectors of the same length meet. Ties go to the smaller id; repeated
-    candidate rows count once. A query with fewer candidates gets all; empty tables give an empty result.
+    candidate rows count once. A best score that no long holds raises. A query with fewer candidates gets all; empty tables give an empty result.
     """
     spark = vectors.sparkSession
     whole = F.col("id").isNotNull() & F.col("v").isNotNull()
