@@ -74,7 +74,7 @@ def to_scripts(spark, sf_dir):
 
 @query
 def trim_spans(spark, sf_dir):
-    part = F.concat(F.lit(" \t"), F.substring("text", 1, 20), F.lit(" \n"))
+    part = F.concat(F.lit(" \t"), "text", F.lit(" \n"))
     t = docs(spark, sf_dir).select("doc_id", part.alias("t")).withColumn("s", normalize.trimmed_span(F.col("t"), F.lit(0), F.length("t")))
     return t.where("s is not null").select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
 

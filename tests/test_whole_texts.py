@@ -60,3 +60,16 @@ def test_offset_audit_counts_whole_texts(spark, long_docs):
     tokens = [(k, e) for t in texts.values() for k, (_, e, _) in enumerate(tagged(t))]
     row = QUERIES["offset_audit"](spark, at).first()
     assert (row.special, row.outside, row.backward, row.tokens) == (len(texts), sum(k > 0 and e > 300 for k, e in tokens), 0, len(tokens))
+
+
+def test_trim_spans_looks_at_both_ends_of_whole_texts(spark, tmp_path):
+    blanks = " \t\n\x0b\x0c\r"
+    texts = {0: "a" * 30, 1: "a" * 30 + " \t ", 2: " " * 25 + "b", 3: "\n " * 20, 4: "", 5: " c " * 500 + "\n", 6: None, 7: "ی" * 19 + "  " + "𝒳" * 40 + "\r\n"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in texts.items():
+        padded = f" \t{t} \n" if t is not None else ""
+        if kept := padded.strip(blanks):
+            start = len(padded) - len(padded.lstrip(blanks))
+            want.add((i, start, start + len(kept)))
+    assert {tuple(r) for r in QUERIES["trim_spans"](spark, str(tmp_path)).collect()} == want
