@@ -233,7 +233,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``component_id`` is the smallest id reachable by links, itself included. A null, empty or blank text has no
     shingle and links with nothing. Rows of equal sets are one class however many; rows that share an id are
     expected to share the text. A null id joins nothing: its component_id is null. An empty table gives an empty
-    result. ``bits`` sizes the bit map, 2**bits / 8 bytes, that tells which texts must be read again.
+    result. Only components come out: links inside one are not all verified, and there is no list or count of links.
+    ``bits`` sizes the bit map, 2**bits / 8 bytes, that tells which texts must be read again.
     """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(word_levels(docs, text_col))
