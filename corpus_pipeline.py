@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify), ("exact_dedup", exact), ("ngram_join", near), ("mix_sources", mix), ("sentencepiece", encode)]
 
-#: SQL cannot express the first and last stages; the stages are tested one by one against brute force.
+#: SQL cannot express the first and last stages; of the stages, row counts and columns are tested one by one.
 ORACLE_SQL = None
 
 
