@@ -13,6 +13,7 @@ other queries of the block are scored in integers, whole. So ties are real ties.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -118,6 +119,11 @@ def _pack(batch: pa.RecordBatch):
     return ids, flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 0)
 
 
+def _name(ids: np.ndarray, x: np.ndarray) -> int:
+    """A block's name, from all it holds: one id can be in several blocks."""
+    return int.from_bytes(hashlib.blake2b(ids.tobytes() + x.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _chunks(size: int, name: str):
     """Rows packed into blocks of at most ``size`` rows of one dimension: (block name, dims, ids, vectors)."""
 
@@ -138,7 +144,7 @@ def _chunks(size: int, name: str):
                 yield out(d, ids, x)
 
     def out(d, ids, x):
-        return pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64()), pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.astype("<i8").tobytes()], pa.binary())], [name, "dims", f"{name}_ids", f"{name}_x"])
+        return pa.RecordBatch.from_arrays([pa.array([_name(ids, x)], pa.int64()), pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.astype("<i8").tobytes()], pa.binary())], [name, "dims", f"{name}_ids", f"{name}_x"])
 
     return run
 
@@ -170,14 +176,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k largest integer inner products of each query with other ids.
 
     Both inputs are rows (id long, v array<long>); null ids and null vectors take no part, a candidate with the
-    query's own id is left out, and only vectors of the same length meet. Ties go to the smaller id; repeated
-    candidate rows count once. A best score that no long holds raises. A query with fewer candidates gets all; empty tables give an empty result.
+    query's own id is left out, and only vectors of the same length meet. Ties go to the smaller id; rows equal
+    in id and vector count once, and an id with several vectors takes part with each: the best k of all its vectors
+    are ranked together. A best score that no long holds raises. A query with fewer candidates gets all; empty tables give an empty result.
     """
     spark = vectors.sparkSession
     whole = F.col("id").isNotNull() & F.col("v").isNotNull()
 
     def packed(df, size, name):
-        rows = df.where(whole).select("id", "v").dropDuplicates(["id"]).select("id", "v", F.size("v").alias("dims")).where("dims > 0")
+        rows = df.where(whole).select("id", "v").dropDuplicates(["id", "v"]).select("id", "v", F.size("v").alias("dims")).where("dims > 0")
         return scratch.table(rows.mapInArrow(_chunks(size, name), f"{name} long, dims int, {name}_ids binary, {name}_x binary"), f"topk-{name}")
 
     blocks, asked = packed(vectors, BLOCK, "block"), packed(queries, QUERY_BLOCK, "queries")

@@ -38,3 +38,11 @@ def test_sums_over_a_long_are_exact_or_raise():
 def test_a_component_over_a_long_raises(spark, tmp_path):
     with pytest.raises(Exception, match="too large for a long"):
         queries.op7_top_k(spark, embeddings(spark, [(0, [1.0]), (1, [1e300])], tmp_path)).collect()
+
+
+def test_an_id_with_several_vectors_takes_part_with_each(spark, tmp_path):
+    vec = [(i, [float(i % 7), float(i % 5)]) for i in range(1, 40)] + [(0, [1.0, -1.0]), (0, [-1.0, 1.0]), (0, [-1.0, 1.0]), (0, [1.0]), (41, [1.0]), (41, [9.0, -9.0]), (41, [-9.0, 9.0])]
+    rows = sorted({(i, tuple(int(x * 256) for x in e)) for i, e in vec})
+    best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for o, q in rows if o == 0 for i, v in rows if i != 0 and len(v) == len(q))[:5]
+    got = queries.op7_top_k(spark, embeddings(spark, vec, tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, r + 1, i, -s) for r, (s, i) in enumerate(best)]
