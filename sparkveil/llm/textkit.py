@@ -6,6 +6,8 @@ A null text counts as empty.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -42,7 +44,52 @@ class Powers:
         return self.up, self.down
 
 
-def blocks(batch: pa.RecordBatch, column: str, max_rows: int = 1024, max_bytes: int = 2 << 20):
+#: Spans of more bytes are hashed by BLAKE2b, one by one; the rest eight bytes at a time, all spans together.
+LONG_SPAN = 1024
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], U)
+
+
+def lanes(block: np.ndarray) -> np.ndarray:
+    """For each byte, and for the end, the number that it and the seven bytes after it make; zeros follow the block."""
+    return np.ndarray(len(block) + 1, "<u8", np.concatenate((block, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def span_hashes(block: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes. Every eight bytes pass a bijective finaliser, so no algebraic identity between texts
+    (as polynomial hashes have) makes spans collide."""
+    eight = lanes(block)
+    h = lengths.astype(U) * U(0xD6E8FEB86659FD93)
+    h = mix(h ^ (eight[starts] & _HEAD[np.minimum(lengths, 8)]))
+    live, at = np.flatnonzero((lengths > 8) & (lengths <= LONG_SPAN)), 8
+    while len(live):
+        h[live] = mix((h[live] * U(BASE)) ^ (eight[starts[live] + at] & _HEAD[np.minimum(lengths[live] - at, 8)]))
+        at += 8
+        live = live[lengths[live] > at]
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(block[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(block: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans that start at ``a`` and at ``b`` hold the same bytes."""
+    eight, out = lanes(block), np.ones(len(a), bool)
+    live, at = np.flatnonzero((a != b) & (lengths > 0) & (lengths <= LONG_SPAN)), 0
+    while len(live):
+        same = ((eight[a[live] + at] ^ eight[b[live] + at]) & _HEAD[np.minimum(lengths[live] - at, 8)]) == 0
+        out[live[~same]] = False
+        at += 8
+        live = live[same & (lengths[live] > at)]
+    for i in np.flatnonzero((a != b) & (lengths > LONG_SPAN)).tolist():
+        out[i] = np.array_equal(block[a[i] : a[i] + lengths[i]], block[b[i] : b[i] + lengths[i]])
+    return out
+
+
+def bit_at(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Bits of a map packed by numpy at the given places, without unpacking it."""
+    return (packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def blocks(batch: pa.RecordBatch, column: str, max_rows: int = 1024, max_bytes: int = 1 << 20):
     """Yield (first row, offsets, bytes) for runs of rows: at most max_rows rows and about max_bytes bytes.
 
     A text longer than max_bytes makes a block of its own; texts are never cut.
@@ -104,16 +151,9 @@ def words(offsets: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, row
 
 
-def word_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word from polynomial prefix sums: equal words hash alike wherever they stand."""
-    up, down = powers.to(len(block) + 1)
-    sums = np.empty(len(block) + 1, U)
-    sums[0] = 0
-    vals = (_LOWER[block] if lower else block).astype(U)
-    vals += U(1)
-    vals *= up[: len(block)]
-    np.cumsum(vals, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def word_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each word, A-Z lower-cased: equal words hash alike wherever they stand."""
+    return span_hashes(_LOWER[block] if lower else block, starts, ends - starts)
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
