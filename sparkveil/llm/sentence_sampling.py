@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Powers, U, blocks, mix
+from .textkit import U, blocks, lanes, mix, same_spans, span_hashes
 
 ALPHA = 0.5
 SAMPLES = 2
 SEED = 20_251
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BYTE_ZERO = 3
 MASK = (1 << 64) - 1
 #: exp of -37 is under the least positive value of a 53-bit draw, with a margin.
@@ -57,15 +57,15 @@ class Vocabulary:
         self.size = len(self.pieces)
         first = min(usable)
         self.byte_weight = -alpha * np.log(self.size + 1.0)
-        self.powers = Powers()
         ids = np.array(usable, np.int64)
         text = [self.pieces[i] for i in usable]
         lengths = np.array([len(t) for t in text])
-        block = np.frombuffer(b"".join(text), np.uint8)
-        ends = np.cumsum(lengths)
-        hashes = self.span_hashes(self.prefix_sums(block), ends - lengths, lengths)
+        # Pieces as numbers of eight bytes; the hash finds a piece, these numbers decide.
+        self.words = -(-int(lengths.max()) // 8)
+        numbers = np.frombuffer(b"".join(t.ljust(8 * self.words, b"\0") for t in text), "<u8").reshape(len(text), -1)
+        hashes = self.key([numbers[:, i] for i in range(self.words)], lengths)
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], ids[order]
+        self.hashes, self.ids, self.numbers = hashes[order], ids[order], np.ascontiguousarray(numbers[order].T)
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.weights = -alpha * np.log(self.ids - first + 1.0)
@@ -97,25 +97,18 @@ class Vocabulary:
     def prefix_slot(a, b, c):
         return ((a << np.uint32(16) | b << np.uint32(8) | c) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
-    def prefix_sums(self, block):
-        up, _ = self.powers.to(len(block) + 1)
-        vals = (block.astype(U) + U(1)) * up[: len(block)]
-        out = np.zeros(len(block) + 1, U)
-        np.cumsum(vals, out=out[1:])
-        return out
-
-    def span_hashes(self, sums, starts, lengths):
-        _, down = self.powers.to(len(sums))
-        h = sums[starts + lengths]
-        h -= sums[starts]
-        h *= down[starts]
-        h += np.asarray(lengths).astype(U) * U(0xD6E8FEB86659FD93)
-        h *= U(0x9E3779B97F4A7C15)
-        h ^= h >> U(29)
+    @staticmethod
+    def key(numbers, lengths):
+        """Hash of spans given as numbers of eight bytes, the last one filled up with zeros."""
+        h = np.asarray(lengths).astype(U) * U(0xD6E8FEB86659FD93)
+        for x in numbers:
+            h = (h ^ x) * U(0x9E3779B97F4A7C15)
+            h ^= h >> U(29)
         return h
 
-    def find(self, h):
-        """Index into ids and weights of each hash, or -1."""
+    def find(self, numbers, n):
+        """Index into ids and weights of each span of n bytes, or -1."""
+        h = self.key(numbers + [U(0)] * (self.words - len(numbers)), n)
         at = (h >> np.uint64(40)).astype(np.int64) & self.mask
         out = np.full(len(h), -1, np.int32)
         todo = np.arange(len(h), dtype=np.int32)
@@ -127,13 +120,17 @@ class Vocabulary:
             if not len(todo):
                 break
             at[todo] = (at[todo] + 1) & self.mask
+        found = out >= 0
+        for i, x in enumerate(numbers):
+            found &= self.numbers[i][out] == x
+        out[~found] = -1
         return out
 
 
 class Lattice:
     """Lattices of the distinct words in ``block``: nodes are byte positions, one end node for each word."""
 
-    def __init__(self, vocab: Vocabulary, block: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray):
+    def __init__(self, vocab: Vocabulary, block: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         lengths = ends - starts
         total = int(lengths.sum())
         base = np.cumsum(lengths + 1) - (lengths + 1)
@@ -151,6 +148,7 @@ class Lattice:
         more = np.where(left > 2, vocab.more[vocab.prefix_slot(lead_byte, second, third)], np.uint64(0))
         two = (left > 1) & vocab.two[lead_byte << np.uint32(8) | second]
         begins = (first & 0xC0) != 0x80
+        eight = lanes(block)
         # Edges as start node, length, and index of the piece; bytes have the indices behind the pieces.
         src, size, piece = [], [], []
         # Bytes stand in for characters that are no piece; every byte of such a character is an edge.
@@ -161,7 +159,10 @@ class Lattice:
             at = np.flatnonzero(begins & (vocab.one[first] if n == 1 else two if n == 2 else (left >= n) & (more >> np.uint64(n) & np.uint64(1)).astype(bool)))
             if not len(at):
                 continue
-            got = vocab.find(vocab.span_hashes(sums, pos[at], n))
+            numbers = [eight[pos[at] + i] for i in range(0, n, 8)]
+            if n % 8:
+                numbers[-1] &= np.uint64((1 << 8 * (n % 8)) - 1)
+            got = vocab.find(numbers, n)
             at, got = at[got >= 0], got[got >= 0]
             known[at[char_len[at] == n]] = True
             src.append(node[at])
@@ -266,11 +267,14 @@ def sample_block(vocab: Vocabulary, keys: np.ndarray, offsets: np.ndarray, block
     """
     n = len(offsets) - 1
     edge_of, text, starts, ends, row = _chunks(offsets, block)
-    sums = vocab.prefix_sums(text)
-    h = vocab.span_hashes(sums, starts, ends - starts) if len(starts) else np.zeros(0, U)
-    _, example, kind = np.unique(h, return_index=True, return_inverse=True)
-    lat = Lattice(vocab, text, starts[example], ends[example], sums)
-    del sums, h, text
+    _, example, kind = np.unique(span_hashes(text, starts, ends - starts), return_index=True, return_inverse=True)
+    same = (ends - starts == (ends - starts)[example][kind]) if len(starts) else np.zeros(0, bool)
+    same[same] = same_spans(text, starts[same], starts[example][kind[same]], (ends - starts)[same])
+    alone = np.flatnonzero(~same)  # words that only share a hash with another: kinds of their own
+    kind[alone] = len(example) + np.arange(len(alone))
+    example = np.concatenate((example, alone))
+    lat = Lattice(vocab, text, starts[example], ends[example])
+    del text
     root, stop = lat.root[kind], lat.end[kind]
     inner = (starts - edge_of[row]).astype(U)
     row_first = np.searchsorted(row, np.arange(n + 1))
