@@ -82,15 +82,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, not at all for none.
 
-    Options are those of :func:`mix`. All columns are kept. Rows that share an id are each taken as often as the most
-    often taken of them.
+    Options are those of :func:`mix`. All columns are kept. Rows that share id, source and size are taken as often in all as
+    :func:`mix` takes them, spread evenly; which of them gets one copy more follows from their columns.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    taken = mix(docs, id_col, **options).where("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = scratch.table(taken, "mix-copies")
-    rows = own.join(taken, F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_id")))
-    return rows.select(*own.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("col").toDF(*names)
+    id_, text, source = (F.col(f"c{names.index(c)}") for c in (id_col, text_col, source_col))
+    placed = mix(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), "copies")
+    placed = scratch.table(placed, "mix-copies")
+    taken = placed.groupBy("_id", "_source").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
+    taken = scratch.table(taken, "mix-taken")
+    rows = own.join(taken, id_.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")))
+    out = rows.where("_rows = 1").select(*own.columns, "_copies")
+    if not taken.where("_rows > 1").isEmpty():
+        keys = "_id", "_source", "_size"
+        twins = placed.groupBy(*keys).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_alike")).toDF("k0", "k1", "k2", "_sum", "_alike")
+        several = rows.where("_rows > 1").withColumn("_size", word_count(text)).select(*own.columns, *keys)
+        several = several.withColumns({"_mark": F.xxhash64(*own.columns), "_any": F.rand(1)})
+        several = scratch.ranked(several, list(keys), ["_mark", "_any"], "_rank")
+        several = several.join(twins, F.col("_id").eqNullSafe(F.col("k0")) & F.col("_source").eqNullSafe(F.col("k1")) & (F.col("_size") == F.col("k2")))
+        share = F.floor(F.col("_sum") / F.col("_alike")) + F.when(F.col("_rank") <= F.col("_sum") % F.col("_alike"), 1).otherwise(0)
+        out = out.union(several.select(*own.columns, share.cast("long").alias("_copies")).where("_copies > 0"))
+    return out.select(*own.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("col").toDF(*names)
