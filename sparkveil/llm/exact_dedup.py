@@ -3,8 +3,8 @@
 Pass one folds the hash of every text into counting Bloom filters of a fixed number of slots, kept as two
 bit maps: slots hit once, slots hit twice or more. Pass two reads the rows again; a row whose every slot was
 hit twice may repeat and is shuffled, and all other rows are certainly single and pass straight through.
-The bit map is the only thing broadcast and its size, ``2**bits / 8`` bytes, is a parameter, not a function
-of the data: beyond its capacity more rows shuffle and the result stays exact.
+The bit map is the only thing broadcast. Its size follows the number of rows up to a bound of 32 MB, which suits about
+30 million rows: beyond, more rows shuffle and the result stays exact.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import scratch
-from .textkit import U, mix
+from .textkit import U, bit_at, mix
 
 PROBES = 3
 SEGMENTS = 64
+#: What is broadcast has at most 2**28 bits, 32 MB.
+MOST_BITS = 28
 
 
 def _slots(key: np.ndarray, bits: int) -> np.ndarray:
@@ -77,32 +78,37 @@ def repeated_filter(keys: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
+def fitting_bits(rows: int, least: int = 16, most: int = MOST_BITS) -> int:
+    """Slots, as a power of two, that leave about 2 % of single rows in doubt: eight for each row, as far as the bound allows."""
+    return max(least, min(most, (8 * max(rows, 1) - 1).bit_length()))
+
+
 def maybe_repeated(df: DataFrame, key: str, bits: int, name: str = "maybe") -> DataFrame:
-    """``df`` with a boolean column: false only if no other row has the same key."""
+    """``df`` with a boolean column: false only if no other row has the same key. Only the key leaves the JVM."""
     filter_ = df.sparkSession.sparkContext.broadcast(repeated_filter(df.select(key), bits))
 
-    def mark(batches):
-        seen = np.unpackbits(np.frombuffer(filter_.value, np.uint8)).view(bool)
-        for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            found = np.logical_and.reduce([seen[s] for s in _slots(keys, bits)]) if len(keys) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
+    @F.arrow_udf("boolean")
+    def seen(keys: pa.Array) -> pa.Array:
+        packed = np.frombuffer(filter_.value, np.uint8)
+        own = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return pa.array(np.logical_and.reduce([bit_at(packed, s) for s in _slots(own, bits)]))
 
-    return df.mapInArrow(mark, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+    return df.withColumn(name, seen(F.col(key)))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 25) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Of rows with identical texts the one with the largest id stays. A null text counts as the empty text, so
     null and empty texts are one group. Rows that share both id and text are one group too: each reports
     kept = (id = keep_id). A row with a null id is never the one that stays unless its whole group lacks ids.
-    An empty table gives an empty result. Other columns are ignored.
+    An empty table gives an empty result. Other columns are ignored. The filter has ``2**bits`` slots, by default as many
+    as the number of rows asks for, up to 32 MB.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"))
     hashed = scratch.table(hashed.withColumn("key", F.xxhash64("sha")), "exact-dedup")
-    marked = maybe_repeated(hashed, "key", bits)
+    marked = maybe_repeated(hashed, "key", bits or fitting_bits(hashed.count()))
     single = marked.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"), "sha")
     rows = marked.where("maybe").select("id", "sha")
     groups = scratch.table(rows.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "exact-dedup-groups")
@@ -115,7 +121,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 25) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts: the row with the largest id, one of them if that id repeats.
 
     Nulls, empty texts and empty tables as in :func:`exact_dedup`. All columns are kept; rows that the filter clears
@@ -124,7 +130,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may have any name
     id_, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    marked = maybe_repeated(own.withColumn("key", F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))), "key", bits)
+    marked = maybe_repeated(own.withColumn("key", F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))), "key", bits or fitting_bits(docs.count()))
     single = marked.where("not maybe").select(own.columns)
     rows = marked.where("maybe").select(*own.columns, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
     rows = scratch.table(rows, "exact-dedup-rows")

@@ -129,32 +129,34 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     ``und`` with score 0 if the text is null, empty or has no letter, or the model knows no language. Every byte of
     a text counts, however long. Columns that already have these names are replaced. Equal texts get equal results; an empty table gives an empty result.
     """
-    docs = docs.drop(lang_name, score_name)
     # Plain values: a broadcast is pickled by reference, and workers need not have this package.
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
 
-    def run(batches):
+    @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def run(text: pa.Array) -> pa.Array:
         languages, weights, bias = shipped.value
         names = np.array([*languages, "und"], object)
-        for batch in batches:
-            langs, scores = [], []
-            for _, offsets, block in blocks(batch, text_col, 128):
-                n = len(offsets) - 1
-                best, score = np.full(n, len(languages)), np.zeros(n)
-                ok = _has_letter(offsets, block)
-                if languages and ok.any():
-                    x = _presence(offsets, block).astype(np.float32)
-                    f = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + bias
-                    e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
-                    best = np.where(ok, f.argmax(1), best)
-                    score = np.where(ok, (e / e.sum(1, keepdims=True)).max(1), 0.0)
-                langs.append(names[best])
-                scores.append(score)
-            flat = np.concatenate(langs) if langs else np.zeros(0, object)
-            values = np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat, pa.string()), pa.array(values)], [*batch.schema.names, lang_name, score_name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))
+        langs, scores = [np.zeros(0, object)], [np.zeros(0)]
+        for _, offsets, block in blocks(pa.RecordBatch.from_arrays([text], ["text"]), "text", 64, 1 << 18):
+            n = len(offsets) - 1
+            best, score = np.full(n, len(languages)), np.zeros(n)
+            ok = _has_letter(offsets, block)
+            if languages and ok.any():
+                x = _presence(offsets, block).astype(np.float32)
+                f = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + bias
+                e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
+                best = np.where(ok, f.argmax(1), best)
+                score = np.where(ok, (e / e.sum(1, keepdims=True)).max(1), 0.0)
+            langs.append(names[best])
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(langs), pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
+
+    # Only the text leaves the JVM. The struct has a name that no column of the caller has.
+    names = [c for c in docs.columns if c not in (lang_name, score_name)]
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    held = own.withColumn("found", run(F.col(f"c{docs.columns.index(text_col)}")))
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c in names]
+    return held.select(*kept, F.col("found.lang").alias(lang_name), F.col("found.score").alias(score_name))
 
 
 def held_out(doc_id: Column) -> Column:
