@@ -65,6 +65,12 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank_i
     return out.select(*df.columns, (F.col("_row") - F.col("_f") + F.col("_before") + 1).alias(name))
 
 
+def _digest(pairs: DataFrame) -> tuple:
+    """Number of pairs and two sums of their hashes: alike for the same set of pairs."""
+    h = F.xxhash64("u", "v")
+    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest vertex reachable from each vertex of ``edges(a, b)``: rows (vertex, component).
 
@@ -73,21 +79,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     rounds that grows with the logarithm of the component size.
     """
     pairs = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    before = _digest(pairs)
     for _ in range(max_rounds):
         both = pairs.select("u", "v").union(pairs.select(F.col("v"), F.col("u")))
-        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of u moves to u's least neighbour.
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = table(large, "cc-large")
         # Small star: u and its smaller neighbours move to the least of them.
-        low = table(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = table(small.where("u <> v").distinct(), "cc")
-        same = after.count() == pairs.count() and after.join(pairs, ["u", "v"], "left_anti").isEmpty()
-        drop(least, large, low, pairs)
-        pairs = after
-        if same:
+        drop(large, pairs)
+        pairs, now = after, _digest(after)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("connected components did not settle")
     return pairs.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(pairs.select(F.col("v"), F.col("v"))).distinct()

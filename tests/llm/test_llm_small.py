@@ -166,9 +166,15 @@ def test_mixing(spark, rows):
         assert {r.source_size for r in own} == {size[s]} and all(abs(r.target - target[s]) < 1e-6 for r in own)
         assert all(r.copies in (int(target[s] / size[s]), int(target[s] / size[s]) + 1) and r.taken <= 2 * r["size"] for r in own)
         assert abs(sum(r.taken for r in own) - target[s]) <= 1 + max(r["size"] for r in own)
-    taken = mixing.mixed_rows(frame(spark, rows[:-2])).groupBy("doc_id").count().collect()
-    copies = {r.doc_id: r.copies for r in mixing.mix(frame(spark, rows[:-2])).collect() if r.copies}
-    assert {r.doc_id: r["count"] for r in taken} == copies
+    same = [(7000, rows[3][1], *rows[3][2:])] * 3 + [(7000, "other words here", *rows[3][2:])]
+    mixed = mixing.mixed_rows(frame(spark, rows + same)).groupBy("doc_id", "text").count().collect()
+    copies = {}
+    for r in mixing.mix(frame(spark, rows + same)).collect():
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+    got = {}
+    for r in mixed:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r["count"]
+    assert got == {i: n for i, n in copies.items() if n} and got[7000] >= 1
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
     assert [r.taken for r in mixing.mix(frame(spark, [(1, None, *rows[0][2:])])).collect()] == [0]
 
@@ -216,6 +222,50 @@ def test_sentence_sampling(spark, rows):
     assert sentence_sampling.encode(frame(spark, rows).limit(0), path).count() == 0
 
 
+def thue_morse(n=13):
+    """A word and its complement that polynomial hashes modulo a power of two do not tell apart."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark, rows):
+    a, b = thue_morse()
+    docs = frame(spark, [(1, a, *rows[0][2:]), (2, b, *rows[0][2:]), (3, a + " " + b, *rows[0][2:]), (4, "x" * 300_000, *rows[0][2:])])
+    assert all(r.round_trip for r in sentence_sampling.encode(docs, sentence_sampling.default_model(), digest=True).collect())
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs, k=1, num=50).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs.where("doc_id <> 3")).collect()} == {1: 1, 2: 2, 4: 4}
+    assert len({r.doc_id: r.log_weight for r in importance.resample(docs, spark.createDataFrame([(1,)], "id long")).collect()}) == 4
+
+
+def test_importance_weights_are_log_ratios(spark, rows):
+    """Against counts and sums of single n-grams in Python, from the same buckets."""
+    from sparkveil.llm import textkit
+
+    def grams(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return importance._grams(np.array([0, len(raw)]), raw)[0].tolist()
+
+    some = [r for r in rows if len(r[1] or "") < 5000]
+    wanted = {r[0] for r in some[:30]}
+    raw, good = np.ones(importance.BUCKETS), np.ones(importance.BUCKETS)
+    for r in some:
+        for g in grams(r[1]):
+            raw[g] += 1
+            good[g] += r[0] in wanted
+    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
+    want = {r[0]: sum(ratio[g] for g in grams(r[1])) for r in some if grams(r[1])}
+    out = importance.resample(frame(spark, some), spark.createDataFrame([(i,) for i in wanted], "id long"))
+    got = {r.doc_id: r.log_weight for r in out.collect() if r.log_weight is not None}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    w = "one two two three"
+    a, b, _ = textkit.words(np.array([0, len(w)]), np.frombuffer(w.encode(), np.uint8))
+    assert len(grams(w)) == 4 + 3 and len(a) == len(b) == 4
+    text_ids = frame(spark, some).withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    assert importance.resample(text_ids, spark.createDataFrame([("n0",)], "id string")).count() == len(some)
+
+
 def test_sampling_without_replacement_has_the_right_distribution():
     v = sentence_sampling.Vocabulary(sentence_sampling.default_model(), 0.5)
     weight, piece = dict(zip(v.ids.tolist(), v.weights.tolist(), strict=True)), {p: i for i, p in enumerate(v.pieces)}
