@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkveil.llm import exact_dedup, language_id, mixing, ngram_join, scratch, sentence_sampling
 
@@ -12,9 +13,12 @@ LEAST_SCORE = 0.3
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter, or that no language claims, go."""
-    model = language_id.fit(docs)
-    found = language_id.predict(docs, model, lang_name="_lang", score_name="_score")
-    return found.where((found["_lang"] != "und") & (found["_score"] >= LEAST_SCORE)).select(docs.columns)
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # the prediction's names are then free, whatever the columns
+    at = {c: f"c{names.index(c)}" for c in ("doc_id", "text", "lang")}
+    model = language_id.fit(own, text_col=at["text"], lang_col=at["lang"], id_col=at["doc_id"])
+    found = language_id.predict(own, model, text_col=at["text"], lang_name="_lang", score_name="_score")
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(own.columns).toDF(*names)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
