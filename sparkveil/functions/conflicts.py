@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import SPANS, overlap, sorted_spans
+from .spans import SPANS, bind, overlap, sorted_spans
 
 POLICIES = ("reject", "longest", "priority")
 
@@ -66,10 +66,12 @@ def _sweep(spans: Column) -> Column:
 def resolution(spans: Column, policy: str = "reject", type_priority: Sequence[str] | None = None) -> Column:
     """Struct (spans, error): the accepted spans by start, end and type, or null and why there are none."""
     check_policy(policy, type_priority)
-    base = sorted_spans(spans)
+    return bind(spans, lambda x: bind(sorted_spans(x), lambda base: _resolution(x, base, policy, type_priority)))
+
+
+def _resolution(spans: Column, base: Column, policy: str, type_priority: Sequence[str] | None) -> Column:
     if policy == "reject":
-        error = _sweep(base)
-        return F.struct(F.when(error.isNull(), base).alias("spans"), error.alias("error"))
+        return bind(_sweep(base), lambda error: F.struct(F.when(error.isNull(), base).alias("spans"), error.alias("error")))
     known = {t: i for i, t in enumerate(type_priority or ())}
     rank = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in known.items() for v in kv]), x["type"]), F.lit(len(known) + 1)) if known else F.lit(0)
     keyed = F.transform(F.array_distinct(spans), lambda x: F.struct(rank(x).alias("r"), (x["start"] - x["end"]).alias("l"), x["start"].alias("a"), x["end"].alias("b"), x.alias("x")))
@@ -86,11 +88,14 @@ def resolution(spans: Column, policy: str = "reject", type_priority: Sequence[st
         error = F.when(acc["error"].isNull() & tie, _message(f"Ambiguous conflict between {what} detections", F.get(hits, F.lit(0))["x"], x)).otherwise(acc["error"])
         return F.struct(F.when(F.size(hits) == 0, F.array_append(acc["out"], own)).otherwise(acc["out"]).alias("out"), error.alias("error"))
 
-    done = F.aggregate(F.array_sort(keyed), start, step)
+    return bind(F.aggregate(F.array_sort(keyed), start, step), lambda done: _accepted(done, base, policy, list(known)))
+
+
+def _accepted(done: Column, base: Column, policy: str, known: list[str]) -> Column:
     error = done["error"]
     if policy == "priority":
         numbered = F.transform(base, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-        loose = F.filter(numbered, lambda a: ~a["x"]["type"].isin(list(known)) & F.exists(numbered, lambda b: (b["i"] != a["i"]) & overlap(a["x"], b["x"])))
+        loose = F.filter(numbered, lambda a: ~a["x"]["type"].isin(known) & F.exists(numbered, lambda b: (b["i"] != a["i"]) & overlap(a["x"], b["x"])))
         first = F.get(loose, F.lit(0))["x"]
         error = F.coalesce(F.when(F.size(loose) > 0, F.concat(F.lit("Conflicting detection has no configured priority: "), _where(first))), error)
     accepted = sorted_spans(F.transform(done["out"], lambda o: o["x"]))
@@ -99,5 +104,4 @@ def resolution(spans: Column, policy: str = "reject", type_priority: Sequence[st
 
 def resolve(spans: Column, policy: str = "reject", type_priority: Sequence[str] | None = None) -> Column:
     """The accepted spans; a conflict that the policy does not settle raises when the row is computed."""
-    done = resolution(spans, policy, type_priority)
-    return F.when(done["error"].isNotNull(), F.raise_error(done["error"]).cast(SPANS)).otherwise(done["spans"])
+    return bind(resolution(spans, policy, type_priority), lambda done: F.when(done["error"].isNotNull(), F.raise_error(done["error"]).cast(SPANS)).otherwise(done["spans"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import bind
+
 #: A literal that looks like a placeholder; the type holds no bracket and no line break.
 TOKEN = r"\[[^\[\]\r\n]+_[1-9][0-9]*\]"
 
@@ -51,7 +53,7 @@ def spliced(text: Column, spans: Column, placeholders: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """One document redacted on its own; a text without spans is unchanged."""
-    return F.when(F.size(spans) == 0, text).otherwise(spliced(text, spans, allocated(text, spans)))
+    return bind(text, lambda t: bind(spans, lambda s: F.when(F.size(s) == 0, t).otherwise(bind(allocated(t, s), lambda p: spliced(t, s, p)))))
 
 
 def restored(text: Column, mapping: Column) -> Column:

@@ -14,6 +14,11 @@ SPAN = "struct<type:string,start:int,end:int,value:string,normalized_value:strin
 SPANS = f"array<{SPAN}>"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 

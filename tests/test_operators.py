@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from sparkveil.functions import checks
 from sparkveil.operators import bio, detectors, evaluation, names, profiles, records, redaction, sessions, udtf
 from sparkveil.operators.detectors import BANK_CARD, EMAIL, MOBILE, NATIONAL_ID, PatternDetector, PatternRule
 
@@ -220,3 +221,29 @@ def test_json_forms(spark):
     r = texts(spark, f"{NID} {MOB}", "").select("id", reports.spans_json(d).alias("j"), reports.spans_json_indented(d).alias("i")).orderBy("id").collect()
     plain = [{"type": "IR_NATIONAL_ID", "start": 0, "end": 10}, {"type": "IR_MOBILE", "start": 11, "end": 22}]
     assert json.loads(r[0].j) == plain and r[0].i == json.dumps(plain, indent=2) + "\n" and r[1].i == "[]\n"
+
+
+def test_email_of_a_very_long_text(spark):
+    """A run of a million dots neither overflows the stack nor hides the address behind it."""
+    texts = {1: "a." * 500_000 + "a@x.com", 2: "a." * 500_000 + "a@" + "b." * 500_000 + "com x@mail.com", 3: "m@b.com.x_ n@c-.com o@d.e-f.org- (p@q.rs)", 4: "." + "z@y.xw " + "é" + "u@v.wx q@w.ér", 5: "@" * 300_000}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {(r.id, r.value) for r in detectors.detect_long(df, ["id"], "text", [detectors.EMAIL]).collect()}
+    assert got == {(2, "x@mail.com"), (3, "m@b.com"), (3, "p@q.rs")}
+    assert [r.ok for r in df.orderBy("id").select(checks.is_valid_email(F.col("text")).alias("ok")).collect()] == [False] * 5
+
+
+def test_sql_functions_take_no_line_break(spark):
+    from sparkveil.operators import udtf
+
+    udtf.register_sql(spark)
+    good = {"is_valid_national_id": "0013542419", "is_valid_mobile": "09123456789", "is_valid_email": "a.b@mail.example", "is_valid_bank_card": "6037997551234566"}
+    for name, value in good.items():
+        column = {"is_valid_national_id": checks.is_valid_national_id, "is_valid_mobile": checks.is_valid_mobile_number, "is_valid_email": checks.is_valid_email, "is_valid_bank_card": checks.is_valid_bank_card_number}[name]
+        for v in (value, value + "\n", "", None, "x", value[:-1] + "0"):
+            df = spark.createDataFrame([(v,)], "v string")
+            df.createOrReplaceTempView("one_value")
+            assert spark.sql(f"SELECT {name}(v) AS ok FROM one_value").first().ok == df.select(column(F.col("v")).alias("ok")).first().ok, (name, v)
+            assert v != value + "\n" or not df.select(column(F.col("v")).alias("ok")).first().ok
+    legal = spark.createDataFrame([(f"{n:011d}",) for n in range(10380284790, 10380284800)], "v string")
+    legal.createOrReplaceTempView("legal_values")
+    assert [r.ok for r in spark.sql("SELECT is_valid_legal_id(v) AS ok FROM legal_values").collect()] == [r.ok for r in legal.select(checks.is_valid_iranian_legal_entity_id(F.col("v")).alias("ok")).collect()]
