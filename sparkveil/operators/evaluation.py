@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import bind
+
 KEY = ["doc_id", "start", "end", "type"]
 
 
@@ -52,8 +54,11 @@ def evaluate_exact(gold: DataFrame, predicted: DataFrame, duplicates: str = "cou
     """Overall and per type: (type, tp, fp, fn, precision, recall, f1); type is null in the overall row."""
     rows = matched(gold, predicted, duplicates)
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")]
-    overall = rows.agg(*sums).select(F.lit(None).cast("string").alias("type"), "tp", "fp", "fn")
-    return with_metrics(rows.groupBy("type").agg(*sums).union(overall))
+    # One pass for both: a row that counts for nothing keeps the overall row where there is no span.
+    nothing = rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("type"), *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn", "real")])
+    all_ = rows.select("type", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], F.lit(1).cast("long").alias("real")).union(nothing)
+    summed = all_.rollup("type").agg(*sums, F.sum("real").alias("real"), F.grouping("type").alias("whole")).where("whole = 1 OR real > 0")
+    return with_metrics(summed.select("type", "tp", "fp", "fn"))
 
 
 def evaluate_cases(cases: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -62,13 +67,11 @@ def evaluate_cases(cases: DataFrame, gold: DataFrame, predicted: DataFrame) -> D
     ``cases`` is (doc_id, category). ``failed`` counts documents with a false positive or a miss.
     """
     rows = matched(gold, predicted).join(cases, "doc_id")
-    rows.createOrReplaceTempView("_evaluated_cases")
-    spark = cases.sparkSession
-    out = spark.sql("""
+    out = cases.sparkSession.sql("""
         SELECT CASE grouping_id(type, category) WHEN 3 THEN 'overall' WHEN 1 THEN 'type' ELSE 'category' END AS scope,
                coalesce(type, category, '') AS name, coalesce(sum(tp), 0L) AS tp, coalesce(sum(fp), 0L) AS fp, coalesce(sum(fn), 0L) AS fn,
                count(DISTINCT CASE WHEN fp + fn > 0 THEN doc_id END) AS failed
-        FROM _evaluated_cases GROUP BY GROUPING SETS ((), (type), (category))""")
+        FROM {rows} GROUP BY GROUPING SETS ((), (type), (category))""", rows=rows)
     return with_metrics(out)
 
 
@@ -83,26 +86,28 @@ def errors(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     Kinds: exact, type_mismatch (same bounds), boundary (overlap, other bounds), false_positive, false_negative. The
     first is per gold span, the pairs are of spans without exact match, the last two list those spans.
     """
-    g = gold.select("doc_id", *[F.col(c).alias(f"gold_{c}") for c in KEY[1:]])
-    p = predicted.select("doc_id", *[F.col(c).alias(f"pred_{c}") for c in KEY[1:]])
-    same = [g[c] == p[c] for c in ("doc_id",)] + [g[f"gold_{c}"] == p[f"pred_{c}"] for c in KEY[1:]]
-    cols = ["doc_id", "kind", *[f"{s}_{c}" for s in ("gold", "pred") for c in KEY[1:]]]
-
-    def labelled(df, kind):
-        missing = [c for c in cols if c not in df.columns and c != "kind"]
-        types = {"start": "int", "end": "int", "type": "string"}
-        return df.withColumns({"kind": F.lit(kind)} | {c: F.lit(None).cast(types[c.split("_")[1]]) for c in missing}).select(cols)
-
-    exact = g.join(p, same, "left_semi")
-    miss, extra = g.join(p, same, "left_anti"), p.join(g, same, "left_anti")
-    pairs = miss.join(extra, "doc_id")
-    equal = (F.col("gold_start") == F.col("pred_start")) & (F.col("gold_end") == F.col("pred_end"))
-    cross = F.greatest("gold_start", "pred_start") < F.least("gold_end", "pred_end")
-    parts = [labelled(exact, "exact"), labelled(pairs.where(equal & (F.col("gold_type") != F.col("pred_type"))), "type_mismatch"), labelled(pairs.where(~equal & cross), "boundary"), labelled(extra, "false_positive"), labelled(miss, "false_negative")]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
+    span = F.struct(*KEY[1:])
+    both = gold.select("doc_id", span.alias("g"), F.lit(None).cast(gold.select(span.alias("s")).schema["s"].dataType).alias("p"))
+    both = both.union(predicted.select("doc_id", F.lit(None).cast(both.schema["g"].dataType).alias("g"), span.alias("p")))
+    # Both lists of a document side by side: each input is read once, in one exchange.
+    lists = both.groupBy("doc_id").agg(F.collect_list("g").alias("g"), F.collect_list("p").alias("p"))
+
+    def row(kind, g=None, p=None):
+        cols = [(F.lit(None).cast("string" if c == "type" else "int") if x is None else x[c].cast("string" if c == "type" else "int")).alias(f"{s}_{c}") for s, x in (("gold", g), ("pred", p)) for c in KEY[1:]]
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), *cols)
+
+    def of(miss, extra):
+        def pair(g, p):
+            same = (g["start"] == p["start"]) & (g["end"] == p["end"])
+            cross = F.greatest(g["start"], p["start"]) < F.least(g["end"], p["end"])
+            return F.when(same, F.when(g["type"] != p["type"], "type_mismatch")).when(cross, "boundary")
+
+        pairs = F.flatten(F.transform(miss, lambda g: F.transform(extra, lambda p: row(pair(g, p), g, p))))
+        exact = F.transform(F.filter("g", lambda x: F.array_contains("p", x)), lambda x: row("exact", x))
+        return F.concat(exact, F.filter(pairs, lambda x: x["kind"].isNotNull()), F.transform(extra, lambda p: row("false_positive", None, p)), F.transform(miss, lambda g: row("false_negative", g)))
+
+    miss, extra = F.filter("g", lambda x: ~F.array_contains("p", x)), F.filter("p", lambda x: ~F.array_contains("g", x))
+    return lists.select("doc_id", F.inline(bind(miss, lambda m: bind(extra, lambda e: of(m, e)))))
 
 
 def relaxed(gold: DataFrame, predicted: DataFrame) -> DataFrame:
