@@ -171,7 +171,7 @@ def _with_ratios(counts: str) -> str:
 
 SUMS = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn"
 EXACT = f"SELECT type, {SUMS} FROM m GROUP BY type UNION ALL SELECT '(all)', {SUMS} FROM m"
-TOKENS = """(SELECT doc_id AS sent_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, string_split(substring(text, 1, 400), ' ') AS ts FROM documents))"""
+TOKENS = """(SELECT doc_id AS sent_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, ' ') AS ts FROM documents))"""
 TAGGED = f"""(SELECT *, CASE length(token) % 5 WHEN 1 THEN 'B_PER' WHEN 2 THEN 'I-Person' WHEN 3 THEN 'B-LOC' ELSE 'O' END AS tag,
   sum(length(token) + 1) OVER (PARTITION BY sent_id ORDER BY pos) - 1 - length(token) AS s, sum(length(token) + 1) OVER (PARTITION BY sent_id ORDER BY pos) - 1 AS e FROM {TOKENS})"""
 
@@ -219,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "normalize_text": f"SELECT doc_id, sha256({norm('text')}) AS norm_sha256, length(text) AS n_chars FROM documents",
         "to_scripts": f"SELECT k, translate(card, '{synth.ASCII}', '{synth.PERSIAN}') AS persian, translate(card, '{synth.ASCII}', '{synth.ARABIC}') AS arabic FROM ({IDS})",
         "trim_spans": r"""SELECT doc_id, a AS span_start, a + length(b) AS span_end FROM (SELECT doc_id, 2 + length(p) - length(regexp_replace(p, '^\s+', '')) AS a, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS b
-          FROM (SELECT doc_id, substring(text, 1, 20) AS p FROM documents)) WHERE b <> ''""",
+          FROM (SELECT doc_id, text AS p FROM documents)) WHERE b <> ''""",
         "unicode_audit": f"SELECT count(*) FILTER (id % 3 = 0) AS zwnj, count(*) FILTER (id % 3 = 0) AS arabic_yeh, count(*) FILTER (strpos(text, 'ك') > 0) AS arabic_kaf FROM ({NOTES})",
         "valid_national_id": valid("nid", ok_national_id), "valid_mobile": valid("mobile", ok_mobile), "valid_iban": valid("iban", ok_iban), "valid_card": valid("card", ok_card), "valid_legal_id": valid("legal", ok_legal),
         "valid_email": f"SELECT k, email AS v, {ok_email('email')} AS ok FROM ({IDS})",
