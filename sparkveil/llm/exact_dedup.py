@@ -85,6 +85,7 @@ def fitting_bits(rows: int, least: int = 16, most: int = MOST_BITS) -> int:
 
 def maybe_repeated(df: DataFrame, key: str, bits: int, name: str = "maybe") -> DataFrame:
     """``df`` with a boolean column: false only if no other row has the same key. Only the key leaves the JVM."""
+    scratch.bounded_batches(df.sparkSession)
     filter_ = df.sparkSession.sparkContext.broadcast(repeated_filter(df.select(key), bits))
 
     @F.arrow_udf("boolean")

@@ -99,6 +99,7 @@ def resample(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_
     selected. Ids may be of any type that hashes; rows that share an id, or have none, get the same noise. Without target
     rows all ratios come from the raw model alone. An empty table gives an empty result. Other columns are ignored.
     """
+    scratch.bounded_batches(docs.sparkSession)
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, good_ids, id_col, text_col))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_grams", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("log_weight", "perturbed"))])
     scored = _keyed(docs, id_col, text_col).mapInArrow(_score(ratios, seed), schema)

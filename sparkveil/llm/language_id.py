@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scratch
 from .textkit import blocks
 
 ORDERS = (2, 3, 4)
@@ -87,6 +88,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     Rows with null text or null label, and texts without a letter, are not learned from. Without any row to learn
     from the model knows no language and predicts ``und``.
     """
+    scratch.bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
@@ -129,6 +131,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     ``und`` with score 0 if the text is null, empty or has no letter, or the model knows no language. Every byte of
     a text counts, however long. Columns that already have these names are replaced. Equal texts get equal results; an empty table gives an empty result.
     """
+    scratch.bounded_batches(docs.sparkSession)
     # Plain values: a broadcast is pickled by reference, and workers need not have this package.
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
 

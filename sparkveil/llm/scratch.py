@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_DIR = "/tmp/checkpoints/sparkveil"
+#: Bytes of an Arrow batch, whatever the length of its texts.
+ARROW_BYTES = 4 << 20
+_RUNS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local default for tests."""
+    """This session's folder among those that driver and executors share: in ``spark.checkpoint.dir``, or where that is unset
+    and Spark runs in one process, as in tests, in a local one. It goes when the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = DEFAULT_DIR
-    return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{root.rstrip('/')}/sparkveil-{uuid.uuid4().hex}"
+        atexit.register(clear, spark)
+    return _RUNS[app]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this session. Results that are still to be computed read them."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped() and (at := _RUNS.pop(context.applicationId, None)):
+        path = context._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most ``ARROW_BYTES`` where the session leaves the default of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("bB") == str(64 << 20):
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -477,6 +477,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole. An empty table gives an empty result. Contexts are compared by 128 bits of hash, strings byte by byte.
     """
     spark = docs.sparkSession
+    scratch.bounded_batches(spark)
     buckets = n = scratch.partitions(spark)
     name = f"suffix_chunks_{uuid.uuid4().hex}"
     packed = docs.select(id_col, text_col).mapInArrow(_chunks(id_col, text_col), "chunk long, ids binary, none binary, lengths binary, text binary")
