@@ -294,9 +294,8 @@ def _links(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
     x, y = sets.select("id", "n", "odd").alias("x"), sets.select("id", "n", "odd").alias("y")
     both = near.select("a", "b").join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("x.n").alias("na"), F.col("x.odd").alias("x")).join(y, F.col("b") == F.col("y.id"))
     likely = scratch.table(both.select("a", "b", "na", F.col("y.n").alias("nb"), "x", F.col("y.odd").alias("y")).mapInArrow(_sift(num, den), "a long, b long").distinct(), "ngram-likely")
-    wanted = near.sparkSession.sparkContext.broadcast(_id_bits(likely, bits))
-    asked = sets.where(_maybe(wanted, bits)(F.col("id"))).select("id", "hashes")
-    x, y = asked.alias("x"), asked.alias("y")  # one exchange serves both joins
+    # No function of Python before the joins: where they broadcast, it would run beside the verification, in workers of its own.
+    x, y = sets.select("id", "hashes").alias("x"), sets.select("id", "hashes").alias("y")  # one exchange serves both joins
     full = likely.join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("x.hashes").alias("x")).join(y, F.col("b") == F.col("y.id"))
     links = scratch.table(full.select("a", "b", "x", F.col("y.hashes").alias("y")).mapInArrow(_verify(num, den), "a long, b long").distinct(), "ngram-links")
     scratch.drop(sets, near, likely)
@@ -316,6 +315,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     which texts must be read again; beyond its capacity more are read, and the result stays the same.
     """
     spark = docs.sparkSession
+    scratch.bounded_batches(spark)
     rarity = rarities(docs, text_col, k)
     rarity = spark.sparkContext.broadcast(rarity)
     schema = "id long, n long, s1 long, s2 long, prefix array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY))
@@ -373,6 +373,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: the components so far are stars, so few rounds join them."""
+    if links.isEmpty():
+        return label
     stars = label.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
     return scratch.table(scratch.components(stars.union(links)), "ngram-labels")
 
