@@ -294,11 +294,15 @@ def _links(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
     x, y = sets.select("id", "n", "odd").alias("x"), sets.select("id", "n", "odd").alias("y")
     both = near.select("a", "b").join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("x.n").alias("na"), F.col("x.odd").alias("x")).join(y, F.col("b") == F.col("y.id"))
     likely = scratch.table(both.select("a", "b", "na", F.col("y.n").alias("nb"), "x", F.col("y.odd").alias("y")).mapInArrow(_sift(num, den), "a long, b long").distinct(), "ngram-likely")
-    # No function of Python before the joins: where they broadcast, it would run beside the verification, in workers of its own.
-    x, y = sets.select("id", "hashes").alias("x"), sets.select("id", "hashes").alias("y")  # one exchange serves both joins
+    # The sets still asked for are written first: in one plan with the joins, where these broadcast, the filter would run beside
+    # the verification, in workers of its own.
+    wanted = near.sparkSession.sparkContext.broadcast(_id_bits(likely, bits))
+    asked = scratch.table(sets.where(_maybe(wanted, bits)(F.col("id"))).select("id", "hashes"), "ngram-asked")
+    scratch.drop(sets, near)
+    x, y = asked.alias("x"), asked.alias("y")  # one exchange serves both joins
     full = likely.join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("x.hashes").alias("x")).join(y, F.col("b") == F.col("y.id"))
     links = scratch.table(full.select("a", "b", "x", F.col("y.hashes").alias("y")).mapInArrow(_verify(num, den), "a long, b long").distinct(), "ngram-links")
-    scratch.drop(sets, near, likely)
+    scratch.drop(asked, likely)
     return links
 
 
