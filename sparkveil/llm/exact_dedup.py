@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -51,8 +51,8 @@ def _hits(bits: int):
     return run
 
 
-def _fold(bits: int):
-    """Reduce side: one bit map of slots hit twice or more, for one segment, batch by batch."""
+def _fold(bits: int, least: int):
+    """Reduce side: one bit map of slots hit by ``least`` keys, one or two, for one segment, batch by batch."""
 
     def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = (1 << bits) // SEGMENTS
@@ -62,22 +62,27 @@ def _fold(bits: int):
                 at = np.frombuffer(slots, np.uint32)
                 twice[at] |= once[at] | np.frombuffer(more, bool)
                 once[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["segment", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice if least > 1 else once).tobytes()], pa.binary())], ["segment", "bits"])
 
     return run
 
 
-def repeated_filter(keys: DataFrame, bits: int) -> bytes:
-    """Bit map of slots that two or more rows of ``keys(key long)`` hit. Its size is 2**bits / 8 bytes whatever the data."""
+def key_filter(keys: DataFrame, bits: int, least: int = 1) -> bytes:
+    """Bit map of slots that ``least`` rows (one or two) of ``keys(key long)`` hit. Its size is 2**bits / 8 bytes whatever the data."""
     hits = keys.mapInArrow(_hits(bits), "segment int, slots binary, more binary")
-    folded = hits.groupBy("segment").applyInArrow(_fold(bits), "segment int, twice binary")
+    folded = hits.groupBy("segment").applyInArrow(_fold(bits, least), "segment int, bits binary")
     size = (1 << bits) // SEGMENTS // 8
     out = bytearray(size * SEGMENTS)
-    for segment, twice in folded.collect():
-        out[segment * size : (segment + 1) * size] = twice
+    for segment, part in folded.collect():
+        out[segment * size : (segment + 1) * size] = part
     return bytes(out)
 
 
+def _all_hit(packed: bytes, keys: pa.Array, bits: int) -> np.ndarray:
+    own = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return np.logical_and.reduce([bit_at(np.frombuffer(packed, np.uint8), s) for s in _slots(own, bits)])
+
+
 def fitting_bits(rows: int, least: int = 16, most: int = MOST_BITS) -> int:
     """Slots, as a power of two, that leave about 2 % of single rows in doubt: eight for each row, as far as the bound allows."""
     return max(least, min(most, (8 * max(rows, 1) - 1).bit_length()))
@@ -86,17 +91,40 @@ def fitting_bits(rows: int, least: int = 16, most: int = MOST_BITS) -> int:
 def maybe_repeated(df: DataFrame, key: str, bits: int, name: str = "maybe") -> DataFrame:
     """``df`` with a boolean column: false only if no other row has the same key. Only the key leaves the JVM."""
     scratch.bounded_batches(df.sparkSession)
-    filter_ = df.sparkSession.sparkContext.broadcast(repeated_filter(df.select(key), bits))
+    filter_ = df.sparkSession.sparkContext.broadcast(key_filter(df.select(key), bits, 2))
 
     @F.arrow_udf("boolean")
     def seen(keys: pa.Array) -> pa.Array:
-        packed = np.frombuffer(filter_.value, np.uint8)
-        own = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return pa.array(np.logical_and.reduce([bit_at(packed, s) for s in _slots(own, bits)]))
+        return pa.array(_all_hit(filter_.value, keys, bits))
 
     return df.withColumn(name, seen(F.col(key)))
 
 
+def settled(df: DataFrame, key: Column, yes: DataFrame, no: DataFrame, bits: int, name: str = "settled") -> DataFrame:
+    """``df`` with an int column: 1 if its key is certainly in ``yes(key long)``, 0 if certainly in ``no(key long)``, else null.
+
+    Every key of ``df`` is in one of the two, or in both: then it is null. One filter holds the keys of ``yes``, another those
+    of ``no`` that hit the first: what misses the first is in ``no``, what misses only the second is in ``yes``. Few others
+    are left as long as the filters are not full. Only the key leaves the JVM, and nothing is shuffled but slots of keys.
+    """
+    scratch.bounded_batches(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    first = context.broadcast(key_filter(yes, bits))
+
+    @F.arrow_udf("boolean")
+    def hits(keys: pa.Array) -> pa.Array:
+        return pa.array(_all_hit(first.value, keys, bits))
+
+    second = context.broadcast(key_filter(no.where(hits(F.col(no.columns[0]))), bits))
+
+    @F.arrow_udf("int")
+    def told(keys: pa.Array) -> pa.Array:
+        one = _all_hit(first.value, keys, bits)
+        return pa.array(one.astype(np.int32), mask=one & _all_hit(second.value, keys, bits))
+
+    return df.withColumn(name, told(key))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -125,16 +153,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts: the row with the largest id, one of them if that id repeats.
 
-    Nulls, empty texts and empty tables as in :func:`exact_dedup`. All columns are kept; rows that the filter clears
-    are neither shuffled nor compared.
+    Nulls, empty texts and empty tables as in :func:`exact_dedup`. All columns are kept. Only ids and hashes of rows that may
+    repeat are shuffled and compared; then texts are shuffled only of the few rows that :func:`settled` leaves open, and of
+    those that stay but share id and text with another.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may have any name
     id_, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    marked = maybe_repeated(own.withColumn("key", F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))), "key", bits or fitting_bits(docs.count()))
-    single = marked.where("not maybe").select(own.columns)
-    rows = marked.where("maybe").select(*own.columns, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
-    rows = scratch.table(rows, "exact-dedup-rows")
-    groups = scratch.table(rows.groupBy("sha").agg(F.max(id_).alias("keep_id")), "exact-dedup-groups")
-    last = rows.join(groups, "sha").where(F.col(id_).eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"]).select(own.columns)
-    return single.union(last).toDF(*names)
+    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    bits = bits or fitting_bits(docs.count())
+    with scratch.scope(docs.sparkSession) as keep:
+        hashed = scratch.table(own.select(F.col(id_).alias("id"), sha.alias("sha")).withColumn("key", F.xxhash64("sha")), "exact-dedup-hashes")
+        marked = maybe_repeated(hashed, "key", bits).withColumn("mark", F.xxhash64("id", "sha"))
+        rows = scratch.table(marked.where("maybe").select("id", "sha", "mark"), "exact-dedup-rows")
+        groups = keep(scratch.table(rows.groupBy("sha").agg(F.max("id").alias("keep_id")), "exact-dedup-groups"))
+        found = rows.join(groups, "sha").groupBy("mark").agg(F.bool_or(F.col("id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+        found = scratch.table(found, "exact-dedup-found")
+        single = marked.where("not maybe").select("mark")
+        told = settled(own, F.xxhash64(F.col(id_), sha), found.where("not stays or n > 1").select("mark"), single.union(found.where("stays").select("mark")), bits)
+    stay = told.where("settled = 0").select(own.columns)
+    left = told.where("settled is null").select(*own.columns, sha.alias("sha")).join(groups, "sha", "left")
+    # A text that is in no group is single.
+    left = left.where(F.col("keep_id").isNull() | F.col(id_).eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"])
+    return stay.union(left.select(own.columns)).toDF(*names)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .exact_dedup import fitting_bits, settled
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -86,17 +87,29 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` as the mix takes them: each row as often as its copies say, not at all for none.
 
     Options are those of :func:`mix`. All columns are kept. Rows that share id, source and size are taken as often in all as
-    :func:`mix` takes them, spread evenly; which of them gets one copy more follows from their columns.
+    :func:`mix` takes them, spread evenly; which of them gets one copy more follows from their columns. A row's copies are the
+    whole part of its source's rate or one more: :func:`settled` tells which, so that texts are shuffled only of the few rows
+    it leaves open and of rows that share id and source.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
     id_, text, source = (F.col(f"c{names.index(c)}") for c in (id_col, text_col, source_col))
-    placed = mix(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), "copies")
-    placed = scratch.table(placed, "mix-copies")
-    taken = placed.groupBy("_id", "_source").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    taken = scratch.table(taken, "mix-taken")
-    rows = own.join(taken, id_.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")))
-    out = rows.where("_rows = 1").select(*own.columns, "_copies")
+    with scratch.scope(docs.sparkSession) as keep:
+        placed = mix(docs, id_col, text_col, source_col, **options)
+        base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+        placed = placed.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), "copies", base.alias("_base"))
+        placed = keep(scratch.table(placed, "mix-copies"))
+    taken = placed.groupBy("_id", "_source").agg(F.sum("copies").alias("_copies"), F.max("_base").alias("_base"), F.count(F.lit(1)).alias("_rows"))
+    taken = scratch.table(taken.withColumn("_mark", F.xxhash64("_id", "_source")), "mix-taken")
+    bases = scratch.table(taken.groupBy(F.col("_source").alias("_of")).agg(F.max("_base").alias("_least")), "mix-bases")
+    more = F.col("_copies") - F.col("_base")
+    yes, no = (taken.where((F.col("_rows") > 1) | (more != other)).select("_mark") for other in (0, 1))
+    told = settled(own, F.xxhash64(id_, source), yes, no, fitting_bits(taken.count()), "_more")
+    sure = told.where("_more is not null").join(bases, source.eqNullSafe(F.col("_of"))).select(*own.columns, (F.col("_least") + F.col("_more")).alias("_copies"))
+    left = told.where("_more is null").select(own.columns)
+    taken = taken.where("_copies > 0").drop("_base", "_mark")
+    rows = left.join(taken, id_.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")))
+    out = sure.where("_copies > 0").union(rows.where("_rows = 1").select(*own.columns, "_copies"))
     if not taken.where("_rows > 1").isEmpty():
         keys = "_id", "_source", "_size"
         twins = placed.groupBy(*keys).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_alike")).toDF("k0", "k1", "k2", "_sum", "_alike")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .exact_dedup import fitting_bits, maybe_repeated
+from .exact_dedup import fitting_bits, maybe_repeated, settled
 from .textkit import U, bit_at, blocks, mix, shingles, word_hashes, words
 
 #: Cells of the sketches of words and of shingles.
@@ -383,19 +383,21 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return scratch.table(scratch.components(stars.union(links)), "ngram-labels")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bits: int = 25) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component of :func:`ngram_components`: that with the smallest id.
 
     All columns are kept. Rows that share an id are one document and stay or go together; rows with a null id or
-    without words stay. Rows whose id misses the bit map of dropped ids pass straight through, the others are joined.
+    without words stay. Rows that :func:`settled` decides pass straight through or go, the few others are joined.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    id_ = f"c{names.index(id_col)}"
-    found = ngram_components(docs.select(id_col, text_col), id_col, text_col, k, num, den)
-    gone = scratch.table(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("id")).distinct(), "ngram-gone")
-    hit = docs.sparkSession.sparkContext.broadcast(_id_bits(gone, bits))
-
-    marked = own.withColumn("maybe", _maybe(hit, bits)(F.col(id_).cast("long")))
-    rest = marked.where("maybe").join(gone, F.col(id_) == F.col("id"), "left_anti")
-    return marked.where("not maybe").union(rest).drop("maybe").toDF(*names)
+    id_ = F.col(f"c{names.index(id_col)}").cast("long")
+    with scratch.scope(docs.sparkSession) as keep:
+        found = ngram_components(docs.select(id_col, text_col), id_col, text_col, k, num, den)
+        found = found.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col) != F.col("component_id"), F.lit(False)).alias("goes"))
+        found = keep(scratch.table(found.withColumn("mark", F.xxhash64("id")), "ngram-goes"))
+    bits = fitting_bits(found.count())
+    told = settled(own, F.xxhash64(id_), found.where("goes").select("mark"), found.where("not goes").select("mark"), bits)
+    gone = found.where("goes").select("id").distinct()
+    rest = told.where("settled is null").join(gone, id_ == F.col("id"), "left_anti")
+    return told.where("settled = 0").union(rest).drop("settled").toDF(*names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ DEFAULT_DIR = "/tmp/checkpoints/sparkveil"
 #: Bytes of an Arrow batch, whatever the length of its texts.
 ARROW_BYTES = 4 << 20
 _RUNS: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,17 +54,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`table` once nothing that is still to be computed reads them."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in _folders(df):
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables made inside go at the end, but for those given to the function it yields."""
+    since, kept = len(_MADE), set()
+    yield lambda df: kept.update(f.rsplit("/", 1)[1] for f in _folders(df)) or df
+    for path in _MADE[since:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            _delete(spark, path)
+    _MADE[since:] = [path for path in _MADE[since:] if path.rsplit("/", 1)[1] in kept]
 
 
 def partitions(spark: SparkSession) -> int:
