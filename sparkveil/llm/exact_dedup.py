@@ -32,13 +32,16 @@ def _slots(key: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _hits(bits: int):
-    """Map side: for each segment of the slots, those hit and whether more than once in this batch."""
+def _hits(bits: int, among=None):
+    """Map side: for each segment of the slots, those hit and whether more than once in this batch. With a filter ``among``,
+    only keys that hit it count."""
 
     def run(batches):
         width = (1 << bits) // SEGMENTS
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if among is not None:
+                key = key[_all_hit(among.value, key, bits)]
             slots = np.sort(np.concatenate([np.unique(s.astype(np.uint64) << np.uint64(32) | np.arange(len(s), dtype=np.uint64)) for s in _slots(key, bits)]))
             # A row that hits one slot by two probes counts once.
             slots = np.unique(slots) >> np.uint64(32)
@@ -67,9 +70,9 @@ def _fold(bits: int, least: int):
     return run
 
 
-def key_filter(keys: DataFrame, bits: int, least: int = 1) -> bytes:
+def key_filter(keys: DataFrame, bits: int, least: int = 1, among=None) -> bytes:
     """Bit map of slots that ``least`` rows (one or two) of ``keys(key long)`` hit. Its size is 2**bits / 8 bytes whatever the data."""
-    hits = keys.mapInArrow(_hits(bits), "segment int, slots binary, more binary")
+    hits = keys.mapInArrow(_hits(bits, among), "segment int, slots binary, more binary")
     folded = hits.groupBy("segment").applyInArrow(_fold(bits, least), "segment int, bits binary")
     size = (1 << bits) // SEGMENTS // 8
     out = bytearray(size * SEGMENTS)
@@ -78,8 +81,8 @@ def key_filter(keys: DataFrame, bits: int, least: int = 1) -> bytes:
     return bytes(out)
 
 
-def _all_hit(packed: bytes, keys: pa.Array, bits: int) -> np.ndarray:
-    own = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+def _all_hit(packed: bytes, keys: pa.Array | np.ndarray, bits: int) -> np.ndarray:
+    own = keys if isinstance(keys, np.ndarray) else keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     return np.logical_and.reduce([bit_at(np.frombuffer(packed, np.uint8), s) for s in _slots(own, bits)])
 
 
@@ -110,12 +113,7 @@ def settled(df: DataFrame, key: Column, yes: DataFrame, no: DataFrame, bits: int
     scratch.bounded_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     first = context.broadcast(key_filter(yes, bits))
-
-    @F.arrow_udf("boolean")
-    def hits(keys: pa.Array) -> pa.Array:
-        return pa.array(_all_hit(first.value, keys, bits))
-
-    second = context.broadcast(key_filter(no.where(hits(F.col(no.columns[0]))), bits))
+    second = context.broadcast(key_filter(no, bits, among=first))
 
     @F.arrow_udf("int")
     def told(keys: pa.Array) -> pa.Array:
@@ -164,8 +162,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bits = bits or fitting_bits(docs.count())
     with scratch.scope(docs.sparkSession) as keep:
         hashed = scratch.table(own.select(F.col(id_).alias("id"), sha.alias("sha")).withColumn("key", F.xxhash64("sha")), "exact-dedup-hashes")
-        marked = maybe_repeated(hashed, "key", bits).withColumn("mark", F.xxhash64("id", "sha"))
-        rows = scratch.table(marked.where("maybe").select("id", "sha", "mark"), "exact-dedup-rows")
+        # A table, so that no other Python worker runs beside the one that marks.
+        marked = scratch.table(maybe_repeated(hashed, "key", bits).withColumn("mark", F.xxhash64("id", "sha")), "exact-dedup-marked")
+        rows = marked.where("maybe").select("id", "sha", "mark")
         groups = keep(scratch.table(rows.groupBy("sha").agg(F.max("id").alias("keep_id")), "exact-dedup-groups"))
         found = rows.join(groups, "sha").groupBy("mark").agg(F.bool_or(F.col("id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
         found = scratch.table(found, "exact-dedup-found")
