@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkit import U, bit_at, mix
+from .textkit import U, bit_at, lean, mix
 
 PROBES = 3
 SEGMENTS = 64
@@ -72,7 +72,7 @@ def _fold(bits: int, least: int):
 
 def key_filter(keys: DataFrame, bits: int, least: int = 1, among=None) -> bytes:
     """Bit map of slots that ``least`` rows (one or two) of ``keys(key long)`` hit. Its size is 2**bits / 8 bytes whatever the data."""
-    hits = keys.mapInArrow(_hits(bits, among), "segment int, slots binary, more binary")
+    hits = keys.mapInArrow(lean(_hits(bits, among)), "segment int, slots binary, more binary")
     folded = hits.groupBy("segment").applyInArrow(_fold(bits, least), "segment int, bits binary")
     size = (1 << bits) // SEGMENTS // 8
     out = bytearray(size * SEGMENTS)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .exact_dedup import fitting_bits, maybe_repeated, settled
-from .textkit import U, bit_at, blocks, mix, shingles, word_hashes, words
+from .textkit import U, bit_at, blocks, lean, mix, shingles, word_hashes, words
 
 #: Cells of the sketches of words and of shingles.
 CELLS = 1 << 20
@@ -85,7 +85,7 @@ def _sum_counts(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) ->
 
 def rarities(docs: DataFrame, text_col: str, k: int) -> tuple[bytes, bytes, int]:
     """Log counts of the cells of words and of shingles, one byte each whatever the data, and the level from which a shingle is common."""
-    counts = docs.select(text_col).mapInArrow(_count(text_col, k), "segment int, counts binary")
+    counts = docs.select(text_col).mapInArrow(lean(_count(text_col, k)), "segment int, counts binary")
     out, total = (np.zeros((SEGMENTS, CELLS // SEGMENTS), np.uint8), np.zeros((SEGMENTS, SHINGLE_CELLS // SEGMENTS), np.uint8)), 0
     for segment, n, level in counts.groupBy("segment").applyInArrow(_sum_counts, "segment int, total long, level binary").collect():
         out[segment // SEGMENTS][segment % SEGMENTS] = np.frombuffer(level, np.uint8)
@@ -240,7 +240,7 @@ def _or_bits(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> It
 
 def _id_bits(ids: DataFrame, bits: int) -> bytes:
     """Bit map that every id in any column hits: 2**bits / 8 bytes whatever the data."""
-    seen = ids.mapInArrow(_wanted_bits(bits), "segment int, bits binary").groupBy("segment").applyInArrow(_or_bits, "segment int, bits binary")
+    seen = ids.mapInArrow(lean(_wanted_bits(bits)), "segment int, bits binary").groupBy("segment").applyInArrow(_or_bits, "segment int, bits binary")
     size = (1 << bits) // SEGMENTS // 8
     out = bytearray(size * SEGMENTS)
     for segment, x in seen.collect():
@@ -290,10 +290,10 @@ def _links(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
     """Those of the pairs (a, b) that are links by their whole sets, as a table. Fine parities come first: they are small, and
     few pairs but links are left for the whole sets."""
     wanted = near.sparkSession.sparkContext.broadcast(_id_bits(near.select("a", "b"), bits))
-    sets = scratch.table(docs.select(id_col, text_col).mapInArrow(_whole_sets(id_col, text_col, k, wanted, bits), "id long, n long, odd binary, hashes binary"), "ngram-sets")
+    sets = scratch.table(docs.select(id_col, text_col).mapInArrow(lean(_whole_sets(id_col, text_col, k, wanted, bits)), "id long, n long, odd binary, hashes binary"), "ngram-sets")
     x, y = sets.select("id", "n", "odd").alias("x"), sets.select("id", "n", "odd").alias("y")
     both = near.select("a", "b").join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("x.n").alias("na"), F.col("x.odd").alias("x")).join(y, F.col("b") == F.col("y.id"))
-    likely = scratch.table(both.select("a", "b", "na", F.col("y.n").alias("nb"), "x", F.col("y.odd").alias("y")).mapInArrow(_sift(num, den), "a long, b long").distinct(), "ngram-likely")
+    likely = scratch.table(both.select("a", "b", "na", F.col("y.n").alias("nb"), "x", F.col("y.odd").alias("y")).mapInArrow(lean(_sift(num, den)), "a long, b long").distinct(), "ngram-likely")
     # The sets still asked for are written first: in one plan with the joins, where these broadcast, the filter would run beside
     # the verification, in workers of its own.
     wanted = near.sparkSession.sparkContext.broadcast(_id_bits(likely, bits))
@@ -301,7 +301,7 @@ def _links(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
     scratch.drop(sets, near)
     x, y = asked.alias("x"), asked.alias("y")  # one exchange serves both joins
     full = likely.join(x, F.col("a") == F.col("x.id")).select("a", "b", F.col("x.hashes").alias("x")).join(y, F.col("b") == F.col("y.id"))
-    links = scratch.table(full.select("a", "b", "x", F.col("y.hashes").alias("y")).mapInArrow(_verify(num, den), "a long, b long").distinct(), "ngram-links")
+    links = scratch.table(full.select("a", "b", "x", F.col("y.hashes").alias("y")).mapInArrow(lean(_verify(num, den)), "a long, b long").distinct(), "ngram-links")
     scratch.drop(asked, likely)
     return links
 
@@ -323,7 +323,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rarity = rarities(docs, text_col, k)
     rarity = spark.sparkContext.broadcast(rarity)
     schema = "id long, n long, s1 long, s2 long, prefix array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY))
-    profile = scratch.table(docs.select(id_col, text_col).mapInArrow(_profile(id_col, text_col, k, num, den, rarity), schema), "ngram-profile")
+    profile = scratch.table(docs.select(id_col, text_col).mapInArrow(lean(_profile(id_col, text_col, k, num, den, rarity)), schema), "ngram-profile")
     rarity.unpersist()
     # Of rows that may have an equal set elsewhere, one stands for each set; the others pass straight through.
     data = [F.struct("prefix", *(f"p{i}" for i in range(PARITY))).alias("x")]
@@ -336,7 +336,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = "token", like, F.xxhash64("id", F.col("token") % 3)
     postings = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", "pos")
     dealt = postings.repartitionByRange(scratch.partitions(spark), *order).sortWithinPartitions(*order)
-    live = scratch.table(dealt.select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")).mapInArrow(_lists(num, den), "token long, id long, n long, pos long, beside long"), "ngram-live")
+    live = scratch.table(dealt.select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos")).mapInArrow(lean(_lists(num, den)), "token long, id long, n long, pos long, beside long"), "ngram-live")
     # Round one: neighbours in each list.
     first = scratch.table(live.where("beside is not null").select(F.least("id", "beside").alias("a"), F.greatest("id", "beside").alias("b")).distinct(), "ngram-first")
     check = id_col, text_col, k, num, den, bits

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .textkit import U, blocks, lanes, mix, same_spans, span_hashes
+from .textkit import U, blocks, lanes, lean, mix, same_spans, span_hashes
 
 ALPHA = 0.5
 SAMPLES = 2
@@ -434,7 +434,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     own = [T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())] if digest else [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("sample", T.IntegerType()), T.StructField("n_pieces", T.LongType()), *own, *(T.StructField(c, T.DoubleType()) for c in ("log_prob", "perturbed", "log_inclusion"))])
     scratch.bounded_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(_encoder(id_col, text_col, model_path, k, alpha, digest), schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(_encoder(id_col, text_col, model_path, k, alpha, digest)), schema)
 
 
 def decode_ids(samples: DataFrame, model_path: str, ids_col: str = "ids", name: str = "text") -> DataFrame:

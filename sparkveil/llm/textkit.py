@@ -6,6 +6,7 @@ A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -26,6 +27,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lean(run):
+    """``run`` over batches, after which the worker, which lives on for other tasks, gives freed memory back to the system."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, as far as the longest block so far."""
 
