@@ -377,3 +377,14 @@ def test_components_and_ranks(spark):
     for k in ("a", "b", None):
         own = sorted((r.rank_in_key, r.v) for r in ranks if r.k == k)
         assert [x for x, _ in own] == list(range(1, len(own) + 1)) and [v for _, v in own] == sorted(v for q, v in rows if q == k)
+
+
+def test_settled_never_errs_however_full_the_filters(spark):
+    keys = [(i * 7919 - 3000,) for i in range(600)]
+    yes, no = keys[:200] + keys[590:], keys[200:]
+    df = lambda x: spark.createDataFrame(x, "key long")
+    for bits, least in ((9, 0), (16, 550)):
+        got = {r.key: r.settled for r in exact_dedup.settled(df(keys), F.col("key"), df(yes), df(no), bits).collect()}
+        assert all(got[k] in (1, None) for (k,) in keys[:200]) and all(got[k] in (0, None) for (k,) in keys[200:590])
+        assert all(got[k] is None for (k,) in keys[590:]) and sum(x is not None for x in got.values()) >= least
+    assert {r.settled for r in exact_dedup.settled(df(keys), F.col("key"), df([]), df(keys), 9).collect()} == {0}
