@@ -163,6 +163,10 @@ def test_name_windows_decode_and_merge():
     assert names.merge([C(0, 5, False, True, 0), C(6, 8, True, False, 1)], text) == [(0, 8)]
     assert names.merge([C(0, 5, False, True, 0), C(6, 8, True, False, 2), C(0, 2, False, False, 1)], text) == [(0, 5), (6, 8)]
     assert names.merge([C(0, 5), C(3, 8)], text) == [(0, 5), (3, 8)] and names.merge([C(0, 2), C(0, 5)], text) == [(0, 5)]
+    assert names.merge([], text) == [] and names.merge([C(2, 5), C(0, 8), C(0, 8, window=1)], text) == [(0, 8)]
+    cut, rest = C(0, 2, False, True, 0), C(3, 5, True, False, 1)
+    assert names.merge([cut, rest], "ab cd") == [(0, 5)] and names.merge([cut, rest], "ab,cd") == [(0, 2), (3, 5)]
+    assert names.merge([rest, C(6, 8, True, True, 3), cut, C(3, 5, False, True, 2)], "ab cd ef") == [(0, 8)]
     for bad in [{}, {"x": "B-PER"}, {0: "B-PER"}]:
         with pytest.raises(ValueError):
             names.Labels.of(bad)
