@@ -61,22 +61,31 @@ WITH RECURSIVE p AS (
   FROM n WHERE node IS NOT NULL
 ), goes AS (
   SELECT *, replace(CASE
-    WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
+    WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical[\s/>])') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
     ELSE '' END, '&amp;', '&') AS goto
   FROM tags
 ), full_to AS (
   SELECT node, CASE
+    WHEN starts_with(goto, '#') THEN NULL
     WHEN regexp_matches(goto, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN goto
+    WHEN regexp_matches(goto, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
     WHEN starts_with(goto, '//') THEN scheme || ':' || goto
     WHEN starts_with(goto, '/') THEN scheme || '://' || host || goto
+    WHEN starts_with(goto, '?') THEN scheme || '://' || host || path || goto
     ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || goto END AS goto
   FROM goes WHERE goto <> ''
+), cut AS (
+  SELECT node, substr(goto, strpos(goto, '://') + 3) AS rest, lower(split_part(goto, '://', 1)) AS scheme FROM full_to WHERE goto IS NOT NULL
 ), parsed AS (
-  SELECT node, substr(goto, strpos(goto, '://') + 3) AS rest, lower(split_part(goto, '://', 1)) AS scheme FROM full_to
+  SELECT *, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ), edges AS (
   SELECT DISTINCT node AS a, scheme || '://' || translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-         || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS b
+         || CASE WHEN regexp_matches(path, '/\.{1,2}(/|\z)') THEN '/' || array_to_string(list_concat(
+              list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(path, '/')[2:], lambda s: [s])),
+                          lambda done, s: CASE WHEN s[1] = '..' THEN done[1:len(done) - 1] WHEN s[1] = '.' THEN done ELSE list_concat(done, s) END),
+              CASE WHEN regexp_matches(path, '/\.{1,2}\z') THEN [''] ELSE []::VARCHAR[] END), '/') ELSE path END
+         || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS b
   FROM parsed
 ), both_ways AS (
   SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b

@@ -1,7 +1,7 @@
 """URL verdicts with redirect equivalence.
 
 A page's url is judged by the longest rule that fits. Redirect (meta refresh) and canonical-link edges make
-urls aliases of one another; their connected components are found in parallel, and a component with a url that
+urls aliases of one another, references being resolved as browsers do; their connected components are found in parallel, and a component with a url that
 a rule blocks hands the block to its members that no rule fits. A rule that allows a url always stands against
 a block that would come through an alias. Without edges nothing is propagated.
 """
@@ -41,11 +41,49 @@ def fitting_rule(h: Column, p: Column, rules=RULES) -> Column:
     return out
 
 
-def node(url: Column) -> Column:
-    """A url as vertex: host lower-cased, fragment dropped; null without ://."""
-    scheme = F.substring_index(url, "://", 1)
+def _node(url: Column, p: Column) -> Column:
     query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(F.locate("://", url) > 0, F.concat(F.lower(scheme), F.lit("://"), host(url), path(url), query))
+    return F.when(F.locate("://", url) > 0, F.concat(F.lower(F.substring_index(url, "://", 1)), F.lit("://"), host(url), p, query))
+
+
+def node(url: Column) -> Column:
+    """A url as vertex: scheme and host lower-cased, fragment dropped; null without ://."""
+    return _node(url, path(url))
+
+
+#: What makes a tag a canonical link (as any of the words of rel) or a redirect, and where the target stands.
+CANONICAL = r"""(?i)^<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical[\s/>])"""
+REFRESH = r"""(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b"""
+HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+REFRESH_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+
+
+def _without_dots(p: Column) -> Column:
+    """A path with its . and .. segments resolved."""
+    steps = F.aggregate(
+        F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/"))), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    folder = F.when(p.rlike(r"/\.{1,2}\z"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(p.rlike(r"/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(F.concat(steps, folder), "/"))).otherwise(p)
+
+
+def target(url: Column, to: Column) -> Column:
+    """Vertex that a reference ``to`` in the page ``url`` names, as browsers resolve it; null for a place in the page
+    itself and for schemes without ://."""
+    scheme, p = F.substring_index(url, "://", 1), path(url)
+    root = F.concat(scheme, F.lit("://"), host(url))
+    folder = F.coalesce(F.nullif(F.regexp_extract(p, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    full = (
+        F.when(to.startswith("#"), F.lit(None))
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?"), F.concat(root, p, to))
+        .otherwise(F.concat(root, folder, to))
+    )
+    return _node(full, _without_dots(path(full)))
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -53,19 +91,10 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     html, url = F.col(html_col), F.col(url_col)
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link\b[^>]*\bcanonical\b|meta\b[^>]*\brefresh\b)[^>]*>)"), 1)
     found = pages.where(html.rlike("(?i)canonical|refresh") & (F.locate("://", url) > 0)).select(url.alias("url"), F.explode(tags).alias("tag"))
-    canonical = F.regexp_extract("tag", r"""(?i)^<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("tag", r"""(?i)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
-    found = found.select("url", F.replace(F.concat(canonical, refresh), F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
-    root = F.concat(F.substring_index("url", "://", 1), F.lit("://"), host(F.col("url")))
-    folder = F.concat(root, F.regexp_extract(path(F.col("url")), "^(.*/)", 1))
-    to = F.col("to")
-    full = (
-        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat(F.substring_index("url", "://", 1), F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(root, to))
-        .otherwise(F.concat(F.when(folder == root, F.concat(root, F.lit("/"))).otherwise(folder), to))
-    )
-    return found.select(node(F.col("url")).alias("a"), node(full).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    tag = F.col("tag")
+    to = F.when(tag.rlike(CANONICAL), F.regexp_extract(tag, HREF, 1)).when(tag.rlike(REFRESH), F.regexp_extract(tag, REFRESH_URL, 1))
+    found = found.select("url", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
+    return found.select(node(F.col("url")).alias("a"), target(F.col("url"), F.col("to")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
