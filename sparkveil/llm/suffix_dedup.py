@@ -5,13 +5,17 @@ positions with the same least hash form runs, about one in fourteen positions, a
 equal strings. Texts lie in a table of chunks that every pass reads again; what passes tell one another is
 keyed by chunk, so no text is shuffled and a string that very many documents share counts once a chunk.
 
-1. Least hashes of each chunk meet by hash range; those of one chunk and one document alone are done.
-2. The rest meet with a hash of their run's whole context: if an earlier document has the same context, every
+1. Hashes of whole texts meet. A text that a row with a smaller id has too goes whole and takes no further part.
+2. Least hashes of each chunk meet by hash range; those of one chunk and one document alone are done.
+3. The rest meet with a hash of their run's whole context: if an earlier document has the same context, every
    start position of the run repeats. If all contexts of a least hash are the same, that decides it.
-3. Runs whose contexts differ (at the edges of shared passages) meet as byte strings, each distinct one once. Their
+4. Runs whose contexts differ (at the edges of shared passages) meet as byte strings, each distinct one once. Their
    suffixes are sorted: a merge sort whose comparisons find the common extension of two suffixes by binary
    search over prefix polynomial hashes. Neighbours that agree on ``length`` bytes are verified byte by byte;
-   the least id of each class goes back to the chunks.
+   the least id of each class goes back to the chunks. Where a least hash has many contexts, its strings, one for
+   each start position, meet by hash instead: as bytes, fifty for each position, they would fill the disks.
+
+Shuffle files of a pass are given up before the next one.
 """
 
 from __future__ import annotations
@@ -34,15 +38,15 @@ CHUNK_BYTES = 4 << 20
 #: Hash arrays are eight times as large as the text, so they are made for so many bytes at a time.
 PIECE_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 15
-#: Runs with more start positions, and least hashes with more contexts, are taken apart into single strings, so
-#: that no group of strings that meet grows with how common a gram is.
+#: Runs with more start positions, and least hashes with more contexts, are taken apart into hashes of single strings,
+#: so that no group of strings that meet grows with how common a gram is.
 LONG_RUN = 64
 MANY_CONTEXTS = 64
 NO_ID = -(1 << 63)
 
 
 def _chunks(id_col, text_col):
-    """Rows packed into chunks: (chunk, ids, nulls of ids, lengths, text)."""
+    """Rows packed into chunks: (chunk, ids, nulls of ids, lengths, 128-bit hashes of texts, text)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -52,10 +56,9 @@ def _chunks(id_col, text_col):
             ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
             for first, offsets, block in blocks(batch, text_col, CHUNK_ROWS, CHUNK_BYTES):
                 own = ids.slice(first, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([own.fill_null(NO_ID).to_numpy().tobytes()], pa.binary()), pa.array([np.asarray(own.is_null()).tobytes()], pa.binary()), pa.array([np.diff(offsets).tobytes()], pa.binary()), pa.array([block.tobytes()], pa.binary())],
-                    ["chunk", "ids", "none", "lengths", "text"],
-                )
+                whole = b"".join(hashlib.blake2b(block[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+                cols = own.fill_null(NO_ID).to_numpy().tobytes(), np.asarray(own.is_null()).tobytes(), np.diff(offsets).tobytes(), whole, block.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in cols)], ["chunk", "ids", "none", "lengths", "whole", "text"])
                 number += 1
 
     return run
@@ -120,10 +123,31 @@ def _strings_at(block, at, length, powers):
     return out
 
 
+class _Wholes:
+    """A chunk's rows that hold a string, in order of their text's hash and id, with the distinct texts numbered."""
+
+    def __init__(self, row: dict, length: int):
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        at = np.flatnonzero(np.frombuffer(row["lengths"], np.int64) >= length)
+        h = np.frombuffer(row["whole"], np.uint64).reshape(-1, 2)[at]
+        order = np.lexsort((self.ids[at], h[:, 1], h[:, 0]))
+        self.at, h = at[order], h[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]).any(1)))[: len(at)]
+        head = np.flatnonzero(new)
+        self.no, self.h, self.first = np.cumsum(new) - 1, h[head], self.ids[self.at[head]]
+
+    def copies(self, told, buckets: int) -> np.ndarray:
+        """For each row whether one with a smaller id has the same text."""
+        out = np.zeros(len(self.ids), bool)
+        out[self.at] = _aligned(told, self.h[:, 0], buckets, bool, True)[self.no] | (self.ids[self.at] > self.first[self.no])
+        return out
+
+
 class _Chunk:
-    """A chunk's runs in order of least hash, context and id, with the distinct ones numbered."""
+    """A chunk's runs in order of least hash, context and id, with the distinct ones numbered; copies have none."""
 
-    def __init__(self, row: dict, powers, length: int):
+    def __init__(self, row: dict, powers, length: int, buckets: int):
+        self.copy = _Wholes(row, length).copies(row["copies"], buckets)
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.none = np.frombuffer(row["none"], bool)
         self.offsets = np.concatenate(([0], np.cumsum(np.frombuffer(row["lengths"], np.int64))))
@@ -136,6 +160,7 @@ class _Chunk:
             parts.append((r, a + lo, b + lo, m, c))
             i = j
         r, a, b, m, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        r, a, b, m, c = (x[~self.copy[r]] for x in (r, a, b, m, c))
         order = np.lexsort((self.ids[r], c, m))
         self.row, self.a, self.b, self.least, self.context = r[order], a[order], b[order], m[order], c[order]
         new = np.concatenate(([True], self.least[1:] != self.least[:-1])) if len(r) else np.zeros(0, bool)
@@ -178,19 +203,72 @@ def _aligned(told, h, buckets, dtype, unpack=False):
     return out
 
 
+def _low(h):
+    """The low 40 bits of hashes, five bytes each; the bucket tells some of the others."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _wide(parts):
+    """Numbers from the bytes of :func:`_low`."""
+    low = np.concatenate([np.frombuffer(x, np.uint8) for x in parts]).reshape(-1, 5)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, :5] = low
+    return wide.reshape(-1).view(np.uint64)
+
+
+def _narrow(ids, least):
+    """Ids as distances from ``least`` in as few bytes as they all need."""
+    far = ids.view(np.uint64) - np.uint64(least & (1 << 64) - 1)
+    return far.astype(np.min_scalar_type(far.max(initial=0)))
+
+
+def _ids(parts, least, counts):
+    """Ids from the bytes of :func:`_narrow`: each part has its least id and its count."""
+    return np.concatenate([(np.frombuffer(x, f"u{len(x) // n}").astype(np.uint64) + np.uint64(a & (1 << 64) - 1)).view(np.int64) for x, a, n in zip(parts, least, counts, strict=True)])
+
+
 def _rows(batch):
     for i in range(batch.num_rows):
         yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
+def _tell_texts(length, buckets):
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                t = _Wholes(row, length)
+                cut = _slices(t.h[:, 0], buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in cut], pa.int32()), pa.array([row["chunk"]] * len(cut), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in cut], pa.binary()) for x in (t.h, t.first))], ["bucket", "chunk", "texts", "first"])
+
+    return run
+
+
+def _meet_texts(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which texts a row of another chunk with a smaller id has: a bit for each, chunk by chunk."""
+    chunks, texts, first = [], [], []
+    for batch in groups:
+        chunks += batch.column("chunk").to_pylist()
+        texts += [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in batch.column("texts").to_pylist()]
+        first += [np.frombuffer(x, np.int64) for x in batch.column("first").to_pylist()]
+    h, own = np.concatenate(texts), np.concatenate(first)
+    order = np.lexsort((own, h[:, 1], h[:, 0]))
+    new = np.concatenate(([True], (h[order][1:] != h[order][:-1]).any(1)))
+    earlier = np.empty(len(h), bool)
+    earlier[order] = own[order] > own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    ends = np.cumsum([len(x) for x in first])
+    out = [(c, np.packbits(earlier[e - len(x) : e]).tobytes()) for c, x, e in zip(chunks, first, ends, strict=True) if earlier[e - len(x) : e].any()]
+    if out:
+        yield _answers([c for c, _ in out], [t for _, t in out], key[0].as_py())
+
+
 def _tell_least(length, buckets):
     def run(batches):
         powers = Powers()
         for batch in batches:
             for row in _rows(batch):
-                c = _Chunk(row, powers, length)
+                c = _Chunk(row, powers, length, buckets)
                 h = c.least[c.least_at]
-                low = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5])
+                low = _low(h)
                 cut = _slices(h, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in cut], pa.int32()), pa.array([row["chunk"]] * len(cut), pa.int64()), pa.array([low[a:b].tobytes() for _, a, b in cut], pa.binary())], ["bucket", "chunk", "least"])
 
@@ -206,17 +284,15 @@ def _meet_least(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) ->
     chunks, parts = [], []
     for batch in groups:
         chunks += batch.column("chunk").to_pylist()
-        parts += [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in batch.column("least").to_pylist()]
-    wide = np.zeros((sum(map(len, parts)), 8), np.uint8)
-    wide[:, :5] = np.concatenate(parts)
-    h = wide.reshape(-1).view(np.uint64)
+        parts += batch.column("least").to_pylist()
+    h = _wide(parts)
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     more = np.zeros(len(h), bool)
     more[order[1:][same]] = True
     more[order[:-1][same]] = True
-    ends = np.cumsum([len(p) for p in parts])
-    out = [(c, np.packbits(more[e - len(p) : e]).tobytes()) for c, p, e in zip(chunks, parts, ends, strict=True) if more[e - len(p) : e].any()]
+    sizes = [len(p) // 5 for p in parts]
+    out = [(c, np.packbits(more[e - n : e]).tobytes()) for c, n, e in zip(chunks, sizes, np.cumsum(sizes), strict=True) if more[e - n : e].any()]
     if out:
         yield _answers([c for c, _ in out], [t for _, t in out], key[0].as_py())
 
@@ -226,15 +302,17 @@ def _tell_contexts(length, buckets):
         powers = Powers()
         for batch in batches:
             for row in _rows(batch):
-                c = _Chunk(row, powers, length)
+                c = _Chunk(row, powers, length, buckets)
                 c.select(_aligned(row["repeats"], c.least[c.least_at], buckets, bool, True))
                 at = c.pair_at
-                h, context, first = c.least[at], c.context[at], c.ids[c.row[at]]
+                h, context = c.least[at], c.context[at]
+                base = int(c.ids.min(initial=0))
+                first = _narrow(c.ids[c.row[at]], base)
                 long = (c.b[at] - c.a[at] >= LONG_RUN).astype(np.uint8)
                 cut = _slices(h, buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in cut], pa.int32()), pa.array([row["chunk"]] * len(cut), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in cut], pa.binary()) for x in (h, context, first, long))],
-                    ["bucket", "chunk", "least", "context", "first", "long"],
+                    [pa.array([i for i, _, _ in cut], pa.int32()), *(pa.array([x] * len(cut), pa.int64()) for x in (row["chunk"], base)), *(pa.array([x[a:b].tobytes() for _, a, b in cut], pa.binary()) for x in (_low(h), context, first, long))],
+                    ["bucket", "chunk", "base", "least", "context", "first", "long"],
                 )
 
     return run
@@ -245,13 +323,14 @@ EARLIER, RAGGED, MANY = 1, 2, 4
 
 def _meet_contexts(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk's pairs: an earlier document has the context; the least hash has other contexts; many or long ones."""
-    chunks, least, context, first, long = [], [], [], [], []
+    chunks, base, least, context, first, long = [], [], [], [], [], []
     for batch in groups:
-        chunks += batch.column("chunk").to_pylist()
-        for name, to, kind in (("least", least, np.uint64), ("context", context, np.uint64), ("first", first, np.int64), ("long", long, np.uint8)):
+        for name, to in (("chunk", chunks), ("base", base), ("least", least), ("first", first)):
+            to += batch.column(name).to_pylist()
+        for name, to, kind in (("context", context, np.uint64), ("long", long, np.uint8)):
             to += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
-    ends = np.cumsum([len(x) for x in least])
-    m, c, f = np.concatenate(least), np.concatenate(context), np.concatenate(first)
+    sizes = [len(x) for x in context]
+    m, c, f = _wide(least), np.concatenate(context), _ids(first, base, sizes)
     order = np.lexsort((f, c, m))
     m, c, f, wide = m[order], c[order], f[order], np.concatenate(long)[order]
     new_m = np.concatenate(([True], m[1:] != m[:-1]))
@@ -264,14 +343,14 @@ def _meet_contexts(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch])
     told = (f > f[head][no]) * EARLIER + (contexts > 1) * RAGGED + many * MANY
     back = np.empty(len(told), np.uint8)
     back[order] = told
-    out = [(k, back[e - len(x) : e].tobytes()) for k, x, e in zip(chunks, least, ends, strict=True) if back[e - len(x) : e].any()]
+    out = [(k, back[e - n : e].tobytes()) for k, n, e in zip(chunks, sizes, np.cumsum(sizes), strict=True) if back[e - n : e].any()]
     if out:
         yield _answers([k for k, _ in out], [t for _, t in out], key[0].as_py())
 
 
 def _decided(row, powers, length, buckets):
     """A chunk, and for its selected runs whether they repeat whole, and what was told of their pair."""
-    c = _Chunk(row, powers, length)
+    c = _Chunk(row, powers, length, buckets)
     c.select(_aligned(row["repeats"], c.least[c.least_at], buckets, bool, True))
     told = _aligned(row["contexts"], c.least[c.pair_at], buckets, np.uint8)
     first = c.ids[c.row[c.pair_at]]
@@ -279,6 +358,11 @@ def _decided(row, powers, length, buckets):
     return c, whole, told
 
 
+def _reach(start, count):
+    """Positions from each start on, as many as its count."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
 def _tell_strings(length, buckets):
     def run(batches):
         powers = Powers()
@@ -289,30 +373,29 @@ def _tell_strings(length, buckets):
                 at = c.pair_at[sent]
                 single = (told[sent] & MANY) > 0
                 rows = at[~single]
-                start, stop, key, own = c.a[rows], c.b[rows] + length, c.least[rows], c.ids[c.row[rows]]
-                rows = at[single]
-                if len(rows):
-                    # Each distinct string once, for the least id that has it.
-                    count = c.b[rows] - c.a[rows] + 1
-                    pos = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(c.a[rows], count)
-                    whose = np.repeat(c.ids[c.row[rows]], count)
-                    h = _strings_at(c.block, pos, length, powers)
-                    order = np.lexsort((whose, h))
-                    order = order[np.concatenate(([True], h[order][1:] != h[order][:-1]))]
-                    start, stop, key, own = np.concatenate((start, pos[order])), np.concatenate((stop, pos[order] + length)), np.concatenate((key, h[order])), np.concatenate((own, whose[order]))
-                if not len(start):
-                    continue
-                to = _bucket(key, buckets)
+                start, stop, own, to = c.a[rows], c.b[rows] + length, c.ids[c.row[rows]], _bucket(c.least[rows], buckets)
                 order = np.argsort(to, kind="stable")
                 start, stop, own, to = start[order], stop[order], own[order], to[order]
                 size = stop - start
-                flat = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-                text, edge = c.block[flat], np.concatenate(([0], np.cumsum(size)))
+                text, edge = c.block[_reach(start, size)], np.concatenate(([0], np.cumsum(size)))
                 cut = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-                some = np.flatnonzero(np.diff(cut)).tolist()
+                rows = at[single]
+                # Each distinct single string once, for the least id that has it.
+                count = c.b[rows] - c.a[rows] + 1
+                whose, least = np.repeat(c.ids[c.row[rows]], count), np.repeat(c.least[rows], count)
+                h = _strings_at(c.block, _reach(c.a[rows], count), length, powers)
+                order = np.lexsort((whose, least, h))
+                h, least, whose = h[order], least[order], whose[order]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (least[1:] != least[:-1])))[: len(h)]
+                base = int(c.ids.min(initial=0))
+                h, low, whose = h[new], _low(least[new]), _narrow(whose[new], base)
+                once = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cut) + np.diff(once)).tolist()
+                if not some:
+                    continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([size[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.array([own[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.array([text[edge[cut[i]] : edge[cut[i + 1]]].tobytes() for i in some], pa.binary())],
-                    ["bucket", "chunk", "sizes", "docs", "text"],
+                    [pa.array(some, pa.int32()), *(pa.array([x] * len(some), pa.int64()) for x in (row["chunk"], base)), *(pa.array([x[to[i] : to[i + 1]].tobytes() for i in some], pa.binary()) for x, to in ((size, cut), (own, cut), (text, edge[cut]), (h, once), (low, once), (whose, once)))],
+                    ["bucket", "chunk", "base", "sizes", "docs", "text", "hashes", "least", "whose"],
                 )
 
     return run
@@ -392,32 +475,48 @@ class Suffixes:
 
 
 def _meet_strings(length):
-    def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, chunk, size, doc, text = Powers(), [], [], [], []
-        for batch in groups:
-            for row in _rows(batch):
-                size.append(np.frombuffer(row["sizes"], np.int64))
-                doc.append(np.frombuffer(row["docs"], np.int64))
-                text.append(np.frombuffer(row["text"], np.uint8))
-                chunk.append(np.full(len(size[-1]), row["chunk"]))
-        size, doc, chunk, text = (np.concatenate(x) for x in (size, doc, chunk, text))
+    def of_runs(chunk, size, doc, text):
+        """Chunk, hash and least id of the strings of runs that a smaller id has too."""
         starts = size - length + 1
         which = np.repeat(np.arange(len(size)), starts)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(np.cumsum(size) - size, starts)
+        at = _reach(np.cumsum(size) - size, starts)
         whose = np.empty(len(text), np.int64)
         whose[at] = which
-        suffixes = Suffixes(text, length, powers)
+        suffixes = Suffixes(text, length, Powers())
         at = suffixes.sort(at)
         no = suffixes.classes(at)
         docs = doc[whose[at]]
         least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1]))))[no]
         later = np.flatnonzero(least < docs)
-        to, h, least = chunk[whose[at[later]]], _strings(suffixes.sums, at[later], length, powers), least[later]
+        return chunk[whose[at[later]]], _strings(suffixes.sums, at[later], length, Powers()), least[later]
+
+    def of_singles(chunk, doc, h, least):
+        """The same of single strings, equal where both hashes are."""
+        order = np.lexsort((doc, least, h))
+        chunk, doc, h, least = chunk[order], doc[order], h[order], least[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (least[1:] != least[:-1])))
+        first = doc[new][np.cumsum(new) - 1]
+        later = first < doc
+        return chunk[later], h[later], first[later]
+
+    def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in groups for row in _rows(batch)]
+        found = []
+        if runs := [x for x in got if x["sizes"]]:
+            size, doc = ([np.frombuffer(x[name], np.int64) for x in runs] for name in ("sizes", "docs"))
+            chunk = np.repeat([x["chunk"] for x in runs], [len(x) for x in size])
+            found.append(of_runs(chunk, np.concatenate(size), np.concatenate(doc), np.concatenate([np.frombuffer(x["text"], np.uint8) for x in runs])))
+        if singles := [x for x in got if x["hashes"]]:
+            h = [np.frombuffer(x["hashes"], np.uint64) for x in singles]
+            count = [len(x) for x in h]
+            doc = _ids([x["whose"] for x in singles], [x["base"] for x in singles], count)
+            found.append(of_singles(np.repeat([x["chunk"] for x in singles], count), doc, np.concatenate(h), _wide([x["least"] for x in singles])))
+        to, h, least = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((h, to))
         to, h, least = to[order], h[order], least[order]
-        cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
-        ends = np.append(cut[1:], len(to)).astype(int) if len(to) else []
         if len(to):
+            cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            ends = np.append(cut[1:], len(to))
             yield pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array([h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([least[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["chunk", "strings", "least"])
 
     return run
@@ -433,6 +532,8 @@ def _remove(length, buckets, texts):
                 delta = np.zeros(n + 1, np.int32)
                 np.add.at(delta, c.a[whole], 1)
                 np.add.at(delta, c.b[whole] + length, -1)
+                np.add.at(delta, c.offsets[:-1][c.copy], 1)
+                np.add.at(delta, c.offsets[1:][c.copy], -1)
                 open_ = np.flatnonzero((((told & RAGGED) > 0) & ((told & EARLIER) == 0))[c.pair_no])
                 if len(open_) and not whole[open_].all():
                     count = c.b[open_] - c.a[open_] + 1
@@ -474,31 +575,37 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Each byte covered by a string of ``length`` bytes that also starts in a row with a smaller id goes; strings are
     those of the input. Texts are UTF-8 bytes, null counts as empty, and strings never cross texts. Rows with the
     same id do not clear one another; a null id counts as smaller than any. Texts shorter than ``length`` stay
-    whole. An empty table gives an empty result. Contexts are compared by 128 bits of hash, strings byte by byte.
+    whole. An empty table gives an empty result. Whole texts are compared by 128 bits of hash, contexts and strings of
+    very common grams by 104, other strings byte by byte.
     """
     spark = docs.sparkSession
     scratch.bounded_batches(spark)
     buckets = n = scratch.partitions(spark)
     name = f"suffix_chunks_{uuid.uuid4().hex}"
-    packed = docs.select(id_col, text_col).mapInArrow(_chunks(id_col, text_col), "chunk long, ids binary, none binary, lengths binary, text binary")
+    packed = docs.select(id_col, text_col).mapInArrow(_chunks(id_col, text_col), "chunk long, ids binary, none binary, lengths binary, whole binary, text binary")
     # Stored by chunk: the passes below join what they are told without an exchange of text.
     packed.write.bucketBy(n, "chunk").option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
 
     def gathered(answers, as_name, *cols):
         # A chunk gets at most one answer for each bucket, so these lists are bounded by the chunk's size.
-        return scratch.table(answers.groupBy("chunk").agg(F.collect_list(F.struct(*cols)).alias(as_name)), f"suffix-{as_name}")
+        out = scratch.table(answers.groupBy("chunk").agg(F.collect_list(F.struct(*cols)).alias(as_name)), f"suffix-{as_name}")
+        scratch.release(spark)
+        return out
 
+    whole = chunks.drop("text").mapInArrow(_tell_texts(length, buckets), "bucket int, chunk long, texts binary, first binary")
+    copies = gathered(whole.groupBy("bucket").applyInArrow(_meet_texts, "chunk long, bucket int, told binary"), "copies", "bucket", "told")
+    chunks = chunks.join(copies, "chunk", "left")
     least = chunks.mapInArrow(_tell_least(length, buckets), "bucket int, chunk long, least binary")
     repeats = gathered(least.groupBy("bucket").applyInArrow(_meet_least, "chunk long, bucket int, told binary"), "repeats", "bucket", "told")
     known = chunks.join(repeats, "chunk", "left")
-    pairs = known.mapInArrow(_tell_contexts(length, buckets), "bucket int, chunk long, least binary, context binary, first binary, long binary")
+    pairs = known.mapInArrow(_tell_contexts(length, buckets), "bucket int, chunk long, base long, least binary, context binary, first binary, long binary")
     contexts = gathered(pairs.groupBy("bucket").applyInArrow(_meet_contexts, "chunk long, bucket int, told binary"), "contexts", "bucket", "told")
     known = known.join(contexts, "chunk", "left")
-    strings = known.mapInArrow(_tell_strings(length, buckets), "bucket int, chunk long, sizes binary, docs binary, text binary")
+    strings = known.mapInArrow(_tell_strings(length, buckets), "bucket int, chunk long, base long, sizes binary, docs binary, text binary, hashes binary, least binary, whose binary")
     found = gathered(strings.groupBy("bucket").applyInArrow(_meet_strings(length), "chunk long, strings binary, least binary"), "strings", "strings", "least")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     out = scratch.table(known.join(found, "chunk", "left").mapInArrow(_remove(length, buckets, texts), schema), "suffix-result")
-    scratch.drop(repeats, contexts, found)
+    scratch.drop(copies, repeats, contexts, found)
     spark.sql(f"DROP TABLE {name}")
     return out.withColumnRenamed("id", id_col)
