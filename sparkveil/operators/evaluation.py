@@ -115,34 +115,51 @@ def relaxed(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     Both inputs carry ``pos``, the position within the document. The fold is over arrays of one document's spans.
     """
-    span = F.struct("pos", "start", "end", "type")
-    g = gold.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("g"))
-    p = predicted.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("p"))
-    both = g.join(p, "doc_id", "full_outer")
-    none = F.array().cast("array<struct<pos:int,start:int,end:int,type:string>>")
-    both = both.select("doc_id", F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
+    both = _side_by_side(gold, predicted)
+    return both.select("doc_id", F.size("g").cast("long").alias("gold"), F.size("p").cast("long").alias("predicted"), F.size(_hits()).cast("long").alias("matched"))
+
+
+def _side_by_side(gold: DataFrame, predicted: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, g, p) of sorted spans, and with ``docs`` (text, listed): each input is read once, in one exchange."""
+    kind = "struct<pos:int,start:int,end:int,type:string>"
+    span, none = F.struct("pos", "start", "end", "type").cast(kind), F.lit(None).cast(kind)
+    rest = [F.lit(None).cast("string").alias("text"), F.lit(0).alias("listed")] if docs is not None else []
+    rows = gold.select("doc_id", span.alias("g"), none.alias("p"), *rest).union(predicted.select("doc_id", none.alias("g"), span.alias("p"), *rest))
+    lists = [F.array_sort(F.collect_list(c)).alias(c) for c in ("g", "p")]
+    if docs is None:
+        return rows.groupBy("doc_id").agg(*lists)
+    rows = rows.union(docs.select("doc_id", none.alias("g"), none.alias("p"), F.col("text").cast("string").alias("text"), F.lit(1).alias("listed")))
+    return rows.groupBy("doc_id").agg(*lists, F.max("text").alias("text"), F.sum("listed").alias("listed"))
+
+
+def _hits() -> Column:
+    """Positions of the spans of column ``g`` that those of ``p`` take, one after the other."""
 
     def step(used, x):
         open_ = F.filter(F.col("g"), lambda y: (y["type"] == x["type"]) & (F.greatest(y["start"], x["start"]) < F.least(y["end"], x["end"])) & ~F.array_contains(used, y["pos"]))
         return F.when(F.size(open_) > 0, F.array_append(used, F.get(open_, F.lit(0))["pos"])).otherwise(used)
 
-    hits = F.aggregate("p", F.array().cast("array<int>"), step)
-    return both.select("doc_id", F.size("g").cast("long").alias("gold"), F.size("p").cast("long").alias("predicted"), F.size(hits).cast("long").alias("matched"))
+    return F.aggregate("p", F.array().cast("array<int>"), step)
 
 
 def evaluate_predictions(docs: DataFrame, gold: DataFrame, predicted: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """One row of corpus statistics: exact (as sets), relaxed, leakage, false-positive documents, offset failures.
 
-    ``docs`` is (doc_id, text), gold and predicted carry ``pos``. Ratios are rounded to four places.
+    ``docs`` is (doc_id, text), a row for each document; gold and predicted carry ``pos``, and their spans have no null.
+    Each input is read once: a document's text and spans meet in one exchange. Ratios are rounded to four places.
     """
     if types is not None:
         gold, predicted = gold.where(F.col("type").isin(list(types))), predicted.where(F.col("type").isin(list(types)))
-    g, p = gold.select(KEY).distinct().withColumn("in_g", F.lit(1)), predicted.select(KEY).distinct().withColumn("in_p", F.lit(1))
-    sets = g.join(p, KEY, "full_outer").groupBy("doc_id").agg(F.count_if(F.col("in_g").isNotNull() & F.col("in_p").isNotNull()).alias("tp"), F.count_if(F.col("in_g").isNull()).alias("fp"), F.count_if(F.col("in_p").isNull()).alias("fn"))
-    bad = predicted.join(docs, "doc_id", "left")
-    ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text")) & (F.length(F.trim(F.expr("substring(text, start + 1, end - start)"))) > 0)
-    offsets = bad.groupBy("doc_id").agg(F.count_if(~F.coalesce(ok, F.lit(False))).alias("off"))
-    per_doc = docs.select("doc_id").join(sets, "doc_id", "left").join(relaxed(gold, predicted), "doc_id", "left").join(offsets, "doc_id", "left").na.fill(0)
+    g, p = (F.array_distinct(F.transform(c, lambda x: F.struct(*[x[k] for k in KEY[1:]]))) for c in ("g", "p"))
+
+    def ok(x):
+        inside = (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.length("text"))
+        return F.coalesce(inside & (F.length(F.trim(F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]))) > 0), F.lit(False))
+
+    per_doc = _side_by_side(gold, predicted, docs).where("listed > 0").select(
+        F.size(F.array_intersect(g, p)).alias("tp"), F.size(F.array_except(p, g)).alias("fp"), F.size(F.array_except(g, p)).alias("fn"),
+        F.size("g").alias("gold"), F.size("p").alias("predicted"), F.size(_hits()).alias("matched"), F.size(F.filter("p", lambda x: ~ok(x))).alias("off"),
+    )
     total = per_doc.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "gold", "predicted", "matched", "off")], F.count(F.lit(1)).alias("docs"),
         F.count_if(F.col("gold") > 0).alias("with_gold"), F.count_if((F.col("fn") > 0) & (F.col("gold") > 0)).alias("missed"), F.count_if(F.col("fp") > 0).alias("with_fp"),
