@@ -15,7 +15,8 @@ keyed by chunk, so no text is shuffled and a string that very many documents sha
    the least id of each class goes back to the chunks. Where a least hash has many contexts, its strings, one for
    each start position, meet by hash instead: as bytes, fifty for each position, they would fill the disks.
 
-Shuffle files of a pass are given up before the next one.
+Shuffle files of a pass are given up before the next one. What a worker holds does not grow with the table: strings that meet
+are sorted range by range of their hashes, and the ranges that groups are made of follow the number of chunks.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkit import Powers, U, blocks, mix
+from .textkit import Powers, U, blocks, lean, mix, trim
 
 LENGTH = 50
 GRAM = 24
@@ -42,6 +43,11 @@ CHUNK_ROWS = 1 << 15
 #: so that no group of strings that meet grows with how common a gram is.
 LONG_RUN = 64
 MANY_CONTEXTS = 64
+#: Least hashes are dealt into so many ranges that one holds the runs of about so many chunks, whatever the session's partitions.
+CHUNKS_IN_BUCKET = 4
+#: Sorting takes about a hundred bytes a position, so strings that meet are sorted so many bytes, or single ones, at a time.
+SORT_BYTES = 1 << 20
+SORT_SINGLES = 1 << 18
 NO_ID = -(1 << 63)
 
 
@@ -111,16 +117,30 @@ def _strings(sums, at, length, powers):
     return mix((sums[at + length] - sums[at]) * down[at] + U(0x2545F4914F6CDD1D))
 
 
-def _strings_at(block, at, length, powers):
-    """:func:`_strings` for positions of a large block, piece by piece."""
-    out = np.empty(len(at), np.uint64)
-    order = np.argsort(at, kind="stable")
-    cuts = np.searchsorted(at[order], np.arange(0, len(block) + PIECE_BYTES, PIECE_BYTES))
-    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        if a < b:
-            lo = i * PIECE_BYTES
-            out[order[a:b]] = _strings(_sums(block[lo : lo + PIECE_BYTES + length], powers), at[order[a:b]] - lo, length, powers)
-    return out
+def _singles(c, runs, length, powers):
+    """Hash of the string at each start position of a chunk's runs, the run's place in ``runs`` and the position."""
+    runs = np.asarray(runs)
+    order = np.argsort(c.a[runs], kind="stable")
+    first, count = c.a[runs][order], (c.b - c.a)[runs][order] + 1
+    ends = np.cumsum(count)
+    h, which, pos = np.empty(int(count.sum()), np.uint64), np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int32)
+    i = done = 0
+    while i < len(first):  # a piece at a time: the hash arrays are eight times its size
+        j = int(np.searchsorted(first, first[i] + PIECE_BYTES, "right"))
+        at, lo = _reach(first[i:j], count[i:j]), int(first[i])
+        sums = _sums(c.block[lo : int((first[i:j] + count[i:j]).max()) + length], powers)
+        h[done : ends[j - 1]], pos[done : ends[j - 1]] = _strings(sums, at - lo, length, powers), at
+        which[done : ends[j - 1]] = np.repeat(order[i:j], count[i:j])
+        i, done = j, int(ends[j - 1])
+    return h, which, pos
+
+
+def _parts(h):
+    """Places of hashes, range by range of them, so that few are sorted at a time."""
+    n = 1 + len(h) // SORT_SINGLES
+    part = _bucket(h, n).astype(np.int32)
+    for i in range(n):
+        yield i, n, np.flatnonzero(part == i)
 
 
 class _Wholes:
@@ -185,6 +205,11 @@ def _bucket(h, buckets):
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def _part(h, buckets):
+    """Which of 256 ranges of its bucket a hash lies in."""
+    return (((h >> np.uint64(32)) * np.uint64(buckets) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)).astype(np.uint8)
+
+
 def _slices(h, buckets):
     """(bucket, first, last) of the runs of a sorted hash array."""
     cut = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
@@ -373,29 +398,33 @@ def _tell_strings(length, buckets):
                 at = c.pair_at[sent]
                 single = (told[sent] & MANY) > 0
                 rows = at[~single]
-                start, stop, own, to = c.a[rows], c.b[rows] + length, c.ids[c.row[rows]], _bucket(c.least[rows], buckets)
+                start, stop, own, to, part = c.a[rows], c.b[rows] + length, c.ids[c.row[rows]], _bucket(c.least[rows], buckets), _part(c.least[rows], buckets)
                 order = np.argsort(to, kind="stable")
-                start, stop, own, to = start[order], stop[order], own[order], to[order]
+                start, stop, own, to, part = start[order], stop[order], own[order], to[order], part[order]
                 size = stop - start
                 text, edge = c.block[_reach(start, size)], np.concatenate(([0], np.cumsum(size)))
                 cut = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
                 rows = at[single]
                 # Each distinct single string once, for the least id that has it.
-                count = c.b[rows] - c.a[rows] + 1
-                whose, least = np.repeat(c.ids[c.row[rows]], count), np.repeat(c.least[rows], count)
-                h = _strings_at(c.block, _reach(c.a[rows], count), length, powers)
-                order = np.lexsort((whose, least, h))
-                h, least, whose = h[order], least[order], whose[order]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (least[1:] != least[:-1])))[: len(h)]
+                all_h, which, _ = _singles(c, rows, length, powers)
+                kept = []
+                for _, _, some in _parts(all_h):
+                    h, run = all_h[some], rows[which[some]]
+                    least, whose = c.least[run], c.ids[c.row[run]]
+                    order = np.lexsort((whose, least, h))
+                    h, least, whose = h[order], least[order], whose[order]
+                    new = np.concatenate(([True], (h[1:] != h[:-1]) | (least[1:] != least[:-1])))[: len(h)]
+                    kept.append((h[new], least[new], whose[new]))
+                h, least, whose = (np.concatenate(x) for x in zip(*kept, strict=True))
                 base = int(c.ids.min(initial=0))
-                h, low, whose = h[new], _low(least[new]), _narrow(whose[new], base)
+                low, whose = _low(least), _narrow(whose, base)
                 once = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
                 some = np.flatnonzero(np.diff(cut) + np.diff(once)).tolist()
                 if not some:
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), *(pa.array([x] * len(some), pa.int64()) for x in (row["chunk"], base)), *(pa.array([x[to[i] : to[i + 1]].tobytes() for i in some], pa.binary()) for x, to in ((size, cut), (own, cut), (text, edge[cut]), (h, once), (low, once), (whose, once)))],
-                    ["bucket", "chunk", "base", "sizes", "docs", "text", "hashes", "least", "whose"],
+                    [pa.array(some, pa.int32()), *(pa.array([x] * len(some), pa.int64()) for x in (row["chunk"], base)), *(pa.array([x[to[i] : to[i + 1]].tobytes() for i in some], pa.binary()) for x, to in ((size, cut), (own, cut), (part, cut), (text, edge[cut]), (h, once), (low, once), (whose, once)))],
+                    ["bucket", "chunk", "base", "sizes", "docs", "part", "text", "hashes", "least", "whose"],
                 )
 
     return run
@@ -475,20 +504,20 @@ class Suffixes:
 
 
 def _meet_strings(length):
-    def of_runs(chunk, size, doc, text):
+    def of_runs(chunk, size, doc, text, powers):
         """Chunk, hash and least id of the strings of runs that a smaller id has too."""
         starts = size - length + 1
         which = np.repeat(np.arange(len(size)), starts)
         at = _reach(np.cumsum(size) - size, starts)
         whose = np.empty(len(text), np.int64)
         whose[at] = which
-        suffixes = Suffixes(text, length, Powers())
+        suffixes = Suffixes(text, length, powers)
         at = suffixes.sort(at)
         no = suffixes.classes(at)
         docs = doc[whose[at]]
         least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1]))))[no]
         later = np.flatnonzero(least < docs)
-        return chunk[whose[at[later]]], _strings(suffixes.sums, at[later], length, Powers()), least[later]
+        return chunk[whose[at[later]]], _strings(suffixes.sums, at[later], length, powers), least[later]
 
     def of_singles(chunk, doc, h, least):
         """The same of single strings, equal where both hashes are."""
@@ -499,18 +528,42 @@ def _meet_strings(length):
         later = first < doc
         return chunk[later], h[later], first[later]
 
+    def all_runs(got):
+        """Runs with the same least hash stand in one part of the bucket; whole parts are sorted together, few at a time."""
+        size, doc = (np.concatenate([np.frombuffer(x[name], np.int64) for x in got]) for name in ("sizes", "docs"))
+        chunk = np.repeat([x["chunk"] for x in got], [len(x["part"]) for x in got])
+        part, text = (np.frombuffer(b"".join(x[name] for x in got), np.uint8) for name in ("part", "text"))
+        start, order, powers = np.cumsum(size) - size, np.argsort(part, kind="stable"), Powers()
+        ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
+        upto, lo = np.concatenate(([0], np.cumsum(size[order]))), 0
+        while lo < len(order):
+            hi = int(ends[max(np.searchsorted(ends, lo, "right"), np.searchsorted(upto[ends], upto[lo] + SORT_BYTES, "right") - 1)])
+            some, lo = order[lo:hi], hi
+            yield of_runs(chunk[some], size[some], doc[some], text[_reach(start[some], size[some])], powers)
+
+    def all_singles(got):
+        """Each row's hashes are in order, so a range of them is a slice of every row."""
+        h = [np.frombuffer(x["hashes"], np.uint64) for x in got]
+        lo, hi = min(int(x[0]) for x in h), max(int(x[-1]) for x in h)
+        n = 1 + sum(map(len, h)) // SORT_SINGLES
+        bounds = np.array([lo + (hi - lo) * i // n for i in range(1, n)], np.uint64)
+        cuts = [[0, *np.searchsorted(x, bounds).tolist(), len(x)] for x in h]
+        for i in range(n):
+            some = [(x, k, to[i], to[i + 1]) for x, k, to in zip(got, h, cuts, strict=True) if to[i] < to[i + 1]]
+            if some:
+                count = [b - a for _, _, a, b in some]
+                wide = [len(x["whose"]) // len(k) for x, k, _, _ in some]
+                doc = _ids([x["whose"][a * w : b * w] for (x, _, a, b), w in zip(some, wide, strict=True)], [x["base"] for x, _, _, _ in some], count)
+                yield of_singles(np.repeat([x["chunk"] for x, _, _, _ in some], count), doc, np.concatenate([k[a:b] for _, k, a, b in some]), _wide([x["least"][5 * a : 5 * b] for x, _, a, b in some]))
+
     def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [row for batch in groups for row in _rows(batch)]
         found = []
         if runs := [x for x in got if x["sizes"]]:
-            size, doc = ([np.frombuffer(x[name], np.int64) for x in runs] for name in ("sizes", "docs"))
-            chunk = np.repeat([x["chunk"] for x in runs], [len(x) for x in size])
-            found.append(of_runs(chunk, np.concatenate(size), np.concatenate(doc), np.concatenate([np.frombuffer(x["text"], np.uint8) for x in runs])))
+            found += all_runs(runs)
         if singles := [x for x in got if x["hashes"]]:
-            h = [np.frombuffer(x["hashes"], np.uint64) for x in singles]
-            count = [len(x) for x in h]
-            doc = _ids([x["whose"] for x in singles], [x["base"] for x in singles], count)
-            found.append(of_singles(np.repeat([x["chunk"] for x in singles], count), doc, np.concatenate(h), _wide([x["least"] for x in singles])))
+            found += all_singles(singles)
+        trim()
         to, h, least = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((h, to))
         to, h, least = to[order], h[order], least[order]
@@ -536,19 +589,19 @@ def _remove(length, buckets, texts):
                 np.add.at(delta, c.offsets[1:][c.copy], -1)
                 open_ = np.flatnonzero((((told & RAGGED) > 0) & ((told & EARLIER) == 0))[c.pair_no])
                 if len(open_) and not whole[open_].all():
-                    count = c.b[open_] - c.a[open_] + 1
-                    pos = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(c.a[open_], count)
-                    own = np.repeat(c.ids[c.row[open_]], count)
-                    mine = _strings_at(c.block, pos, length, powers)
+                    mine, which, pos = _singles(c, open_, length, powers)
                     # The least id with a string is in this chunk or among what was told of other chunks.
-                    asked = [(mine, own)] + [(np.frombuffer(x["strings"], np.uint64), np.frombuffer(x["least"], np.int64)) for x in row["strings"] or ()]
-                    h, least = (np.concatenate(x) for x in zip(*asked, strict=True))
-                    order = np.lexsort((least, h))
-                    h, least = h[order], least[order]
-                    new = np.concatenate(([True], h[1:] != h[:-1]))
-                    hit = pos[least[new][np.searchsorted(h[new], mine)] < own]
-                    np.add.at(delta, hit, 1)
-                    np.add.at(delta, hit + length, -1)
+                    told_h, told_least = (np.frombuffer(b"".join(x[name] for x in row["strings"] or ()), kind) for name, kind in (("strings", np.uint64), ("least", np.int64)))
+                    for i, of, some in _parts(mine):
+                        h, own = mine[some], c.ids[c.row[open_[which[some]]]]
+                        others = np.flatnonzero(_bucket(told_h, of) == i)
+                        asked, least = np.concatenate((h, told_h[others])), np.concatenate((own, told_least[others]))
+                        order = np.lexsort((least, asked))
+                        asked, least = asked[order], least[order]
+                        new = np.concatenate(([True], asked[1:] != asked[:-1]))[: len(asked)]
+                        hit = pos[some][least[new][np.searchsorted(asked[new], h)] < own]
+                        np.add.at(delta, hit, 1)
+                        np.add.at(delta, hit + length, -1)
                 gone = np.cumsum(delta[:n]) > 0
                 kept = ~gone
                 taken = np.concatenate(([0], np.cumsum(gone)))
@@ -580,12 +633,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     scratch.bounded_batches(spark)
-    buckets = n = scratch.partitions(spark)
+    n = scratch.partitions(spark)
     name = f"suffix_chunks_{uuid.uuid4().hex}"
-    packed = docs.select(id_col, text_col).mapInArrow(_chunks(id_col, text_col), "chunk long, ids binary, none binary, lengths binary, whole binary, text binary")
+    packed = docs.select(id_col, text_col).mapInArrow(lean(_chunks(id_col, text_col)), "chunk long, ids binary, none binary, lengths binary, whole binary, text binary")
     # Stored by chunk: the passes below join what they are told without an exchange of text.
     packed.write.bucketBy(n, "chunk").option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
+    buckets = max(n, chunks.count() // CHUNKS_IN_BUCKET)
 
     def gathered(answers, as_name, *cols):
         # A chunk gets at most one answer for each bucket, so these lists are bounded by the chunk's size.
@@ -593,19 +647,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         scratch.release(spark)
         return out
 
-    whole = chunks.drop("text").mapInArrow(_tell_texts(length, buckets), "bucket int, chunk long, texts binary, first binary")
+    whole = chunks.drop("text").mapInArrow(lean(_tell_texts(length, buckets)), "bucket int, chunk long, texts binary, first binary")
     copies = gathered(whole.groupBy("bucket").applyInArrow(_meet_texts, "chunk long, bucket int, told binary"), "copies", "bucket", "told")
     chunks = chunks.join(copies, "chunk", "left")
-    least = chunks.mapInArrow(_tell_least(length, buckets), "bucket int, chunk long, least binary")
+    least = chunks.mapInArrow(lean(_tell_least(length, buckets)), "bucket int, chunk long, least binary")
     repeats = gathered(least.groupBy("bucket").applyInArrow(_meet_least, "chunk long, bucket int, told binary"), "repeats", "bucket", "told")
     known = chunks.join(repeats, "chunk", "left")
-    pairs = known.mapInArrow(_tell_contexts(length, buckets), "bucket int, chunk long, base long, least binary, context binary, first binary, long binary")
+    pairs = known.mapInArrow(lean(_tell_contexts(length, buckets)), "bucket int, chunk long, base long, least binary, context binary, first binary, long binary")
     contexts = gathered(pairs.groupBy("bucket").applyInArrow(_meet_contexts, "chunk long, bucket int, told binary"), "contexts", "bucket", "told")
     known = known.join(contexts, "chunk", "left")
-    strings = known.mapInArrow(_tell_strings(length, buckets), "bucket int, chunk long, base long, sizes binary, docs binary, text binary, hashes binary, least binary, whose binary")
+    strings = known.mapInArrow(lean(_tell_strings(length, buckets)), "bucket int, chunk long, base long, sizes binary, docs binary, part binary, text binary, hashes binary, least binary, whose binary")
     found = gathered(strings.groupBy("bucket").applyInArrow(_meet_strings(length), "chunk long, strings binary, least binary"), "strings", "strings", "least")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    out = scratch.table(known.join(found, "chunk", "left").mapInArrow(_remove(length, buckets, texts), schema), "suffix-result")
+    out = scratch.table(known.join(found, "chunk", "left").mapInArrow(lean(_remove(length, buckets, texts)), schema), "suffix-result")
     scratch.drop(copies, repeats, contexts, found)
     spark.sql(f"DROP TABLE {name}")
     return out.withColumnRenamed("id", id_col)

@@ -27,6 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if give:
+        give(0)
+
+
 def lean(run):
     """``run`` over batches, after which the worker, which lives on for other tasks, gives freed memory back to the system."""
 
@@ -34,10 +42,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-            if trim:
-                trim(0)
+            trim()
 
     return whole
 
