@@ -172,13 +172,10 @@ class _Chunk:
         self.none = np.frombuffer(row["none"], bool)
         self.offsets = np.concatenate(([0], np.cumsum(np.frombuffer(row["lengths"], np.int64))))
         self.block = np.frombuffer(row["text"], np.uint8)
-        parts, i, n = [], 0, len(self.ids)
-        while i < n:  # a piece at a time: the hash arrays are eight times its size
-            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + PIECE_BYTES, "right")) - 1)
-            lo, hi = self.offsets[i], self.offsets[j]
+        parts = []
+        for i, j, lo, hi in self.pieces():
             r, a, b, m, c = _runs(self.offsets[i : j + 1] - lo, self.block[lo:hi], powers, length, i)
             parts.append((r, a + lo, b + lo, m, c))
-            i = j
         r, a, b, m, c = (np.concatenate(x) for x in zip(*parts, strict=True))
         r, a, b, m, c = (x[~self.copy[r]] for x in (r, a, b, m, c))
         order = np.lexsort((self.ids[r], c, m))
@@ -192,6 +189,14 @@ class _Chunk:
         else:
             self.alone = np.zeros(0, bool)
 
+    def pieces(self):
+        """First row, row after the last, and their bytes, of a piece at a time: arrays of numbers are eight times its size."""
+        i = 0
+        while i < len(self.ids):
+            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + PIECE_BYTES, "right")) - 1)
+            yield i, j, int(self.offsets[i]), int(self.offsets[j])
+            i = j
+
     def select(self, bits: np.ndarray):
         """Keep the runs whose least hash may repeat; number the distinct pairs of least hash and context."""
         keep = (bits | ~self.alone)[self.least_no]
@@ -602,17 +607,19 @@ def _remove(length, buckets, texts):
                         hit = pos[some][least[new][np.searchsorted(asked[new], h)] < own]
                         np.add.at(delta, hit, 1)
                         np.add.at(delta, hit + length, -1)
-                gone = np.cumsum(delta[:n]) > 0
-                kept = ~gone
-                taken = np.concatenate(([0], np.cumsum(gone)))
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1]
-                inner = c.offsets[:-1][c.offsets[:-1] < n]
-                begins[inner] = gone[inner]
-                spans = np.concatenate(([0], np.cumsum(begins)))
-                lo, hi = c.offsets[:-1], c.offsets[1:]
-                rest = [c.block[a:b][kept[a:b]].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                cols = [pa.array(c.ids, pa.int64(), mask=c.none), pa.array(hi - lo), pa.array(taken[hi] - taken[lo]), pa.array(spans[hi] - spans[lo]), pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string())]
+                removed, spans, rest, under = [], [], [], 0
+                for i, j, lo, hi in c.pieces():
+                    gone = np.cumsum(delta[lo:hi], dtype=np.int32) + under > 0
+                    under += int(delta[lo:hi].sum())
+                    at = c.offsets[i : j + 1] - lo
+                    begins = gone.copy()
+                    begins[1:] &= ~gone[:-1]
+                    inner = at[:-1][at[:-1] < hi - lo]
+                    begins[inner] = gone[inner]
+                    removed.append(np.diff(np.concatenate(([0], np.cumsum(gone)))[at]))
+                    spans.append(np.diff(np.concatenate(([0], np.cumsum(begins)))[at]))
+                    rest += [c.block[lo + x : lo + y][~gone[x:y]].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                cols = [pa.array(c.ids, pa.int64(), mask=c.none), pa.array(np.diff(c.offsets)), pa.array(np.concatenate(removed)), pa.array(np.concatenate(spans)), pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string())]
                 names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if texts:
                     cols.append(pa.array(rest, pa.binary()))
